@@ -124,7 +124,8 @@ def _joined(spans: str) -> Column:
 def scan(docs: DataFrame, classes: dict | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """doc_id, the number of base spans by kind, the SHA-256 of the joined base spans, and all spans joined, of every row."""
     found, base, every = _found(docs.select("doc_id", "text"), classes or CLASSES, allow)
-    counts = [F.size(F.filter(base, lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    ranks = F.transform(base, lambda x: x["rank"])
+    counts = [F.size(F.filter(ranks, F.lit(k).__eq__)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
