@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_rules, secret_scan, shared, simhash_dedup
+from millrace.llm import language_id, license_scan, quality_rules, secret_scan, shared, simhash_dedup, token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,27 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(shared.table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, empty at first, so that a run does not depend on the runs before it."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(shared.table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(shared.table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_copies(shared.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op2_secret_scan, op10_simhash_dedup]
+    own = [op1_quality_rules, op2_secret_scan, op5_token_counts, op8_license_scan, op9_language_id, op10_simhash_dedup]
     return {f.__name__: f for f in own}
 
 
