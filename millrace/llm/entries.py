@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, license_scan, quality_rules, secret_scan, shared, simhash_dedup, token_counts
+from millrace.llm import decontamination, language_id, license_scan, quality_classifier, quality_rules, secret_scan, shared, simhash_dedup, source_mixing, token_counts, url_filter
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(shared.table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    return source_mixing.rates(docs, source_mixing.labelled_table(docs, shared.table(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, empty at first, so that a run does not depend on the runs before it."""
     import public_tokenizers
@@ -24,6 +33,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(shared.table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(shared.table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(shared.table(spark, sf_dir, "documents"))
 
@@ -37,7 +54,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op2_secret_scan, op5_token_counts, op8_license_scan, op9_language_id, op10_simhash_dedup]
+    own = [op1_quality_rules, op2_secret_scan, op3_source_mixing, op4_decontamination, op5_token_counts, op6_quality_classifier, op7_url_filter, op8_license_scan, op9_language_id, op10_simhash_dedup]
     return {f.__name__: f for f in own}
 
 

@@ -45,8 +45,8 @@ WORDINGS = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-#: Share of a wording's words that must be verified.
-LEAST = 0.8
+#: Share of a wording's words that must be verified; a wording of few words must stand as it is, as one word makes another license of it.
+LEAST, FEW = 0.8, 8
 #: Diagonals this close together are neighbours.
 NEAR = 2
 
@@ -88,24 +88,24 @@ def spans(found: DataFrame) -> DataFrame:
     template that are neighbours, in place and in offset, are merged and the words that their hits cover are counted."""
     spark = found.sparkSession
     key = ["d1", "d2", "d3", "template"]
-    size = spark.createDataFrame([(i, len(w), exact) for i, w, _, exact in templates()], "template int, size int, exact boolean")
+    size = spark.createDataFrame([(i, len(w), exact, exact or len(w) <= FEW) for i, w, _, exact in templates()], "template int, size int, exact boolean, strict boolean")
     votes = found.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.array_sort(F.collect_list("at")).alias("ats")
     )  # a diagonal has one place per template position at most
     votes = votes.join(F.broadcast(size), "template")
     w = Window.partitionBy(*key).orderBy("diagonal")
-    # A new passage begins where the next diagonal is further off than neighbours are; phrases stand for themselves.
-    fresh = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(w) > NEAR), 1).otherwise(0)
+    # A new passage begins where the next diagonal is further off than neighbours are; what must stand as it is stays by itself.
+    fresh = F.when(F.col("strict") | (F.col("diagonal") - F.lag("diagonal").over(w) > NEAR), 1).otherwise(0)
     merged = votes.withColumn("passage", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = merged.groupBy(*key, "size", "exact", "passage").agg(
+    passages = merged.groupBy(*key, "size", "exact", "strict", "passage").agg(
         F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("ats") + K).alias("end"),
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
     share = covered / F.col("size")
-    # Verified: all words of a phrase; of a wording, enough of them, within a span not much longer than it is.
-    ok = F.when(F.col("exact"), covered == F.col("size")).otherwise((share >= LEAST) & (F.col("end") - F.col("first") <= F.col("size") + NEAR))
+    # Verified: all words of what must stand as it is; of a longer wording, enough of them, within a span not much longer than it is.
+    ok = F.when(F.col("strict"), covered == F.col("size")).otherwise((share >= LEAST) & (F.col("end") - F.col("first") <= F.col("size") + NEAR))
     return passages.where(ok).select(*key, F.col("first").cast("long").alias("first"), (F.col("end") - 1).cast("long").alias("last"), share.alias("share"), "exact")
 
 

@@ -68,3 +68,11 @@ def unused(df: DataFrame, stem: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(texts: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """One text for each of at most `most` rows of keys (h, ...): those first by h, the digest xxhash64 of the text (empty for null), and then
+    by their other columns. So few keys are broadcast; copies of a text fall together within each task, before they are shuffled."""
+    first = keys.distinct().orderBy(*keys.columns).limit(most)
+    found = texts.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(F.broadcast(first), "h")
+    return found.groupBy(*keys.columns).agg(F.first("text").alias("text"))
