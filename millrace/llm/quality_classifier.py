@@ -34,6 +34,8 @@ def labellers(f: str) -> dict[str, Column]:
         "other_chars": vote(5 * c["n_other"] > chars, 10 * c["n_other"] <= chars),
         "long_words": vote(chars > 12 * n, chars <= 9 * n),
         "repeats": vote(2 * c["n_repeat_words"] > n, 10 * c["n_repeat_words"] <= n),
+        "some_repeats": vote(4 * c["n_repeat_words"] > n, F.lit(False)),
+        "variety": vote((n <= 1000) & (6 * c["n_distinct"] < n), 3 * c["n_distinct"] >= n),
         "same_lines": vote((lines >= 3) & (2 * c["n_dup_lines"] > lines), (lines >= 3) & (c["n_dup_lines"] == 0)),
         "capitals": vote(2 * c["n_upper"] > c["n_ascii_letters"], 5 * c["n_upper"] <= c["n_ascii_letters"]),
         "too_short": vote(n < 20, n >= 60),

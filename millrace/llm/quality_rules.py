@@ -23,7 +23,7 @@ LETTER_LIKE = UPPER + LOWER + HIGH
 #: Ends of a line of prose.
 ENDS = b'.!?:;"\')'
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii_letters", "n_other")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper", "n_ascii_letters", "n_other", "n_distinct")
 FEATURES = pa.struct([(c, pa.int64()) for c in COUNTS])
 FEATURES_SQL = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
 
@@ -63,6 +63,7 @@ def count(text: bytes) -> dict[str, int]:
         "n_upper": len(letters) - len(letters.translate(None, UPPER)),
         "n_ascii_letters": plain,
         "n_other": len(bare.translate(None, LETTER_LIKE)),
+        "n_distinct": len(set(words)),
     }
 
 
