@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +134,7 @@ class Index:
         if not w or not self.ids:
             return []
         known = self.words
-        numbers = np.fromiter((known.get(x, 0) for x in w), np.uint64, len(w))
+        numbers = np.fromiter(map(known.get, w, repeat(0)), np.uint64, len(w))
         best: dict[int, tuple] = {}
         for k, holders in self.holders.items():
             if len(w) < k:
@@ -144,7 +144,9 @@ class Index:
             run = np.flatnonzero(run[k - 1 :] - np.r_[0, run[:-k]] == k)
             if not len(run):
                 continue
-            places = run[np.isin(self.code(numbers[run[:, None] + np.arange(k)]), self.codes[k])]
+            code = self.code(numbers[run[:, None] + np.arange(k)])
+            held = self.codes[k]
+            places = run[held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code]
             at: dict[int, list[int]] = {}
             for p in places.tolist():
                 for i in holders.get(tuple(numbers[p : p + k].tolist()), ()):
