@@ -1 +1 @@
-
+"""Operators: DataFrame to DataFrame, lazy, with explicit order keys."""

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import clusters, corpus
+from millrace.plans.book import Book, Query
 
-from pyspark.sql import DataFrame, SparkSession
+BOOKS: tuple[Book, ...] = (corpus.BOOK, clusters.BOOK)
 
-#: Modules with QUERIES (name -> function of session and folder) and SQL (name -> text).
-MODULES: tuple = ()
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {name: f for b in BOOKS for name, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for m in MODULES for name, text in m.SQL.items()}
+    return {name: text for b in BOOKS for name, text in b.sql.items()}
