@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import clusters, corpus
+from millrace.plans import clusters, corpus, data, training
 from millrace.plans.book import Book, Query
 
-BOOKS: tuple[Book, ...] = (corpus.BOOK, clusters.BOOK)
+BOOKS: tuple[Book, ...] = (corpus.BOOK, clusters.BOOK, training.BOOK, data.BOOK)
 
 
 def queries() -> dict[str, Query]:
