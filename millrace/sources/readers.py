@@ -89,7 +89,7 @@ def json_texts(spark: SparkSession, folder: str, field: str = "text") -> DataFra
     """(path, ordinal, text) of all *.json and *.jsonl files below a folder, in order of path and place. A file of which any line is a JSON value is read as
     lines (lines that are no objects, or lack the field, give nothing: so a list on one line gives nothing); any other file as one
     JSON value: a list of records, the first of RECORD_KEYS that is a list, or one record. Texts that are empty or no strings are dropped."""
-    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.{json,jsonl}", wholetext=True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.{json,jsonl}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,13 +173,14 @@ def buckets(spark: SparkSession, folder: str, expected: int | None = None) -> Da
 
 def bucket_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(cluster_id, line_no, text) of bucket_NNNN.jsonl files: lines are numbered without blank ones; a line that is no object with a text is null."""
-    raw = spark.read.options(pathGlobFilter="bucket_*.jsonl", wholetext=True).text(folder).select(F.regexp_extract("_metadata.file_name", r"bucket_(\d+)", 1).cast("bigint").alias("cluster_id"), "value")
+    raw = spark.read.options(pathGlobFilter="bucket_*.jsonl").text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"bucket_(\d+)", 1).cast("bigint").alias("cluster_id"), "value")
     lines = raw.select("cluster_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line_no", "line"))
     return lines.select("cluster_id", F.col("line_no").cast("bigint").alias("line_no"), F.get_json_object("line", "$.text").alias("text"))
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(cluster_id, n_tokens, tokens) of bucket_NNNN.bin files: little-endian 32-bit ids. An empty file is an empty array."""
+    """(cluster_id, n_tokens, tokens) of bucket_NNNN.bin files: little-endian 32-bit ids. An absent or
+    empty file has no row: its cluster reads as null."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "bucket_*.bin").load(folder)
     ids = F.regexp_extract("path", r"bucket_(\d+)\.bin", 1).cast("bigint")
 
@@ -200,9 +201,14 @@ def metadata(spark: SparkSession, path: str) -> dict | None:
     """A JSON file on any file system; None if it is not there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
         return None
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def tar_shards(spark: SparkSession, path: str) -> DataFrame:
