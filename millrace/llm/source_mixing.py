@@ -78,13 +78,14 @@ def folded(p: Column, steps: list[list[float]]) -> Column:
 
 
 def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """The residuals of each step, from (n_tokens, p). total: tokens aimed at; None: as few as let no domain be read less than once."""
+    """The residuals of each step, from (n_tokens, p). total: tokens aimed at; None: as few as let no domain be read less than
+    once, and one in a hundred more, so that the fit's tolerance leaves no document out."""
     sums = lambda r: [F.coalesce(F.sum(r * F.col("n_tokens") * F.element_at("p", d + 1)), F.lit(0.0)).alias(f"s{d}") for d in range(len(domains))]
     have = np.array(list(member.agg(*sums(F.lit(1.0))).first()), float)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
     if total is None:
-        total = float(max((n / s for n, s in zip(have, share, strict=True) if s > 0), default=0.0))
+        total = 1.01 * float(max((n / s for n, s in zip(have, share, strict=True) if s > 0), default=0.0))
     target, steps, now = share * total, [], have
     for _ in range(rounds):
         gap = np.where(have > 0, (now - target) / np.maximum(have, 1e-12), 0.0)
