@@ -76,3 +76,25 @@ def bounded_sample(texts: DataFrame, keys: DataFrame, most: int) -> DataFrame:
     first = keys.distinct().orderBy(*keys.columns).limit(most)
     found = texts.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(F.broadcast(first), "h")
     return found.groupBy(*keys.columns).agg(F.first("text").alias("text"))
+
+
+class Dealt:
+    """Rows to be joined by a key of which some values may hold a large part of all rows. Such a value's rows are dealt over as many salts as
+    it has times `most` rows, by a digest of the whole row; what they are joined with is repeated for each salt of these values alone."""
+
+    def __init__(self, rows: DataFrame, key: list[str], most: int = 2000) -> None:
+        self.key = key
+        hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+        self.hot = written(hot.select(*key, F.ceil(F.col("__n") / most).alias("__salts")), "hot")
+        self.rows = rows
+        if not self.hot.isEmpty():
+            salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__salts")), F.lit(0))
+            self.rows = rows.join(self.hot, key, "left").withColumn("__salt", salt).drop("__salts")
+
+    def join(self, values: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows with values, of which a key has few rows."""
+        if "__salt" not in self.rows.columns:
+            return self.rows.join(values, self.key, how)
+        salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("__salts"), F.lit(1)).cast("bigint") - 1)
+        repeated = values.join(self.hot, self.key, "left").withColumn("__salt", F.explode(salts)).drop("__salts")
+        return self.rows.join(repeated, [*self.key, "__salt"], how).drop("__salt")

@@ -9,7 +9,7 @@ space-separated pieces together, so pieces seen before are not encoded again (a
 
 Cases: a null or empty text has 0 bytes and the count that the tokenizer gives the empty text. Repeated rows and copies are encoded once and
 returned as often as they come; a null doc_id is returned as null. Copies are dropped within each task before the shuffle by digest, so a
-group of copies that holds a third of all rows adds one row per task. An empty table gives an empty result and appends nothing. Extra columns
+group of copies that holds a third of all rows adds one row per task; when counts are joined back, its rows are dealt over salts. An empty table gives an empty result and appends nothing. Extra columns
 are ignored. Texts are encoded whole.
 """
 
@@ -133,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     # An empty first part makes the folder readable on any file system.
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
     content = F.sha2(normalised(F.col("text"), collapse), 256)
-    keyed = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content.alias("content"))
+    keyed = shared.written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content.alias("content")), "contents")
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
     texts = docs.select(content.alias("content"), F.coalesce("text", F.lit("")).alias("text"))
     # Copies go within each task, then by digest over all; what is stored goes before anything is encoded.
@@ -142,4 +142,4 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     made = misses.repartition("content").mapInArrow(lambda b: _encoded(b, path, collapse), "content string, n_tokens bigint")
     made.withColumn("tokenizer", F.lit(version)).select("content", "tokenizer", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return shared.Dealt(keyed, ["content"]).join(counts).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
