@@ -7,7 +7,7 @@ words found in order of diagonal within the span.
 
 The templates are the operator's own fixed table, of bounded size, so that side of the join is broadcast; the k-grams of the corpus are never
 shuffled, only hits are. Hits are keyed by the digest of the text, so copies of a text, and rows without doc_id, need no row number: a group
-of copies of any size adds one set of hits per task before the shuffle.
+of copies of any size adds one set of hits per task before the shuffle; when results are joined back, its rows are dealt over salts.
 
 Cases: a null text counts as empty (no words, no labels, score 0). Repeated rows each get the result of their text; a null doc_id is
 returned as null. An empty table gives an empty result. Extra columns are ignored. A text is read whole, however long.
@@ -121,8 +121,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("share").alias("score"),
     )
-    rows = docs.select("doc_id", *_digest(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(by_text, d, "left")
+    rows = shared.written(docs.select("doc_id", *_digest(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words")), "words")
+    out = shared.Dealt(rows, d).join(by_text, "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
