@@ -51,3 +51,8 @@ def run_averages(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = a.agg(F.avg("loss").alias("baseline"), F.count(F.lit(1)).alias("n_baseline")), b.agg(F.avg("loss").alias("test"), F.count(F.lit(1)).alias("n_test"))
     one = F.lit(1).alias("__one")
     return x.select("*", one).join(y.select("*", one), "__one").drop("__one").withColumn("diff", F.col("test") - F.col("baseline"))
+
+
+def metric_rank(world: Column, stages: Column) -> Column:
+    """The rank that logs: the first of the last pipeline stage; without stages, 0."""
+    return F.floor(world / stages) * (stages - 1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import clusters, corpus, data, loading, training
+from millrace.plans import clusters, corpus, data, loading, storage, training
 from millrace.plans.book import Book, Query
 
-BOOKS: tuple[Book, ...] = (corpus.BOOK, clusters.BOOK, training.BOOK, data.BOOK, loading.BOOK)
+BOOKS: tuple[Book, ...] = (corpus.BOOK, clusters.BOOK, training.BOOK, data.BOOK, loading.BOOK, storage.BOOK)
 
 
 def queries() -> dict[str, Query]:

@@ -214,10 +214,16 @@ def metadata(spark: SparkSession, path: str) -> dict | None:
 def tar_shards(spark: SparkSession, path: str) -> DataFrame:
     """(shard, key, txt, jpg, json) of tar files whose members are grouped by the name before the first dot. A shard is read by one task."""
     raw = spark.read.format("binaryFile").options(pathGlobFilter="*.tar", recursiveFileLookup=True).load(path).select("path", "content")
+    return opened_tars(raw, "path").withColumnRenamed("path", "shard")
+
+
+def opened_tars(raw: DataFrame, shard: str) -> DataFrame:
+    """(shard, key, txt, jpg, json) of the members of tars in rows (shard, content)."""
+    kind = raw.schema[shard].dataType.simpleString()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, content in zip(b.column(0), b.column(1), strict=True):
+            for name, content in zip(b.column(0), b.column(1), strict=True):
                 rows: dict[str, dict[str, bytes]] = {}
                 with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
                     for m in tar:
@@ -227,11 +233,11 @@ def tar_shards(spark: SparkSession, path: str) -> DataFrame:
                 get = lambda r, k: r[k].decode() if k in r else None
                 kept = list(rows.items())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.as_py()] * len(kept), pa.string()), pa.array([k for k, _ in kept], pa.string()), pa.array([get(r, "txt") for _, r in kept], pa.string()), pa.array([r.get("jpg") for _, r in kept], pa.binary()), pa.array([get(r, "json") for _, r in kept], pa.string())],
-                    names=["shard", "key", "txt", "jpg", "json"],
+                    [pa.array([name.as_py()] * len(kept), b.column(0).type), pa.array([k for k, _ in kept], pa.string()), pa.array([get(r, "txt") for _, r in kept], pa.string()), pa.array([r.get("jpg") for _, r in kept], pa.binary()), pa.array([get(r, "json") for _, r in kept], pa.string())],
+                    names=[shard, "key", "txt", "jpg", "json"],
                 )
 
-    return raw.mapInArrow(opened, "shard string, key string, txt string, jpg binary, json string")
+    return raw.select(shard, "content").mapInArrow(opened, f"{shard} {kind}, key string, txt string, jpg binary, json string")
 
 
 def losses(spark: SparkSession, path: str) -> DataFrame:
