@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality_rules, shared, weak_labels
 
-DIMENSIONS, MOST_TRAINED = 1 << 13, 3000
+DIMENSIONS, MOST_TRAINED = 1 << 12, 2000
 COUNTS = quality_rules.COUNTS
 
 
@@ -38,35 +38,42 @@ def labellers(f: str) -> dict[str, Column]:
         "variety": vote((n <= 1000) & (6 * c["n_distinct"] < n), 3 * c["n_distinct"] >= n),
         "same_lines": vote((lines >= 3) & (2 * c["n_dup_lines"] > lines), (lines >= 3) & (c["n_dup_lines"] == 0)),
         "capitals": vote(2 * c["n_upper"] > c["n_ascii_letters"], 5 * c["n_upper"] <= c["n_ascii_letters"]),
-        "too_short": vote(n < 20, n >= 60),
+        "too_short": vote(n < 5, n >= 60),
         "ended_lines": vote((lines > 0) & (10 * c["n_ended_lines"] < lines), 2 * c["n_ended_lines"] >= lines),
     }
 
 
 def slots(text: bytes) -> np.ndarray:
-    """Hashed counts of byte triples, square-rooted, of length 1; digits count as one digit."""
+    """Hashed counts of byte triples, square-rooted, of length 1; digits count as one digit. Two more hashed features, of the text's length and of its
+    variety at that length (distinct triples a byte), tell repetition, which no single triple does."""
     b = np.frombuffer(text.translate(DIGITS), np.uint8)
     out = np.zeros(DIMENSIONS)
     for at in range(0, len(b) - 2, 1 << 20):
         x = b[at : at + (1 << 20) + 2].astype(np.int64)
         out += np.bincount((x[:-2] * 40503 + x[1:-1] * 911 + x[2:] * 31) % DIMENSIONS, minlength=DIMENSIONS)
+    distinct, size = int(np.count_nonzero(out)), len(b).bit_length()
     out = np.sqrt(out)
-    return out / max(float(np.linalg.norm(out)), 1e-12)
+    out /= max(float(np.linalg.norm(out)), 1e-12)
+    out[(size * 7919 + 13) % DIMENSIONS] += 0.5
+    out[(16 * distinct // max(len(b), 1) * 104729 + size * 7919 + 77) % DIMENSIONS] += 1.0
+    return out
 
 
 DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 30.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """(weights, bias) of logistic regression on soft labels y, both classes with the same total weight."""
-    w, bias = np.zeros(DIMENSIONS, np.float32), 0.0
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 20.0, momentum: float = 0.9, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(weights, bias) of logistic regression on soft labels y, the rarer class weighted up (by its share to the power -0.75), by gradient descent
+    with momentum."""
+    w, v, bias = np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 0.0
     if not len(x):
         return w, 0.0
-    share = y / max(y.sum(), 1e-9) / 2 + (1 - y) / max((1 - y).sum(), 1e-9) / 2
+    share = y / max(y.sum(), 1e-9) ** 0.75 + (1 - y) / max((1 - y).sum(), 1e-9) ** 0.75
     share = (share / share.sum()).astype(np.float32)
     for _ in range(rounds):
         g = share * (1 / (1 + np.exp(-(x @ w + bias))) - y).astype(np.float32)
-        w -= rate * (x.T @ g + decay * w)
+        v = momentum * v - rate * (g @ x + decay * w)
+        w += v
         bias -= float(g.sum())
     return w, bias
 
