@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from millrace.llm import shared
 
 DIMENSIONS, N, SEED = 1024, 3, 20240229
+#: Languages whose counts a task holds at once (2 MB each).
+MOST_HELD = 32
 #: Symbols: 0 for all that is no letter, then a-z, then classes of other letters.
 SYMBOLS = 64
 UNKNOWN = "und"
@@ -57,9 +59,9 @@ def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray] | None:
     if len(s) < 3:
         return None
     codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    counts = np.bincount(codes, minlength=0) if len(codes) > 20_000 else None
-    if counts is None:
+    if len(codes) < 20_000:
         return np.unique(codes, return_counts=True)
+    counts = np.bincount(codes)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -80,34 +82,39 @@ class Encoder:
             out += n @ bound.astype(np.float32)
         return out
 
+    def whole(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The profile in whole numbers, so that sums do not depend on how rows are dealt to tasks."""
+        out = np.zeros(DIMENSIONS, np.int64)
+        for at in range(0, len(codes), 2048):
+            c, n = codes[at : at + 2048], counts[at : at + 2048].astype(np.float64)
+            bound = self.first[c // SYMBOLS**2] * self.second[c // SYMBOLS % SYMBOLS] * self.third[c % SYMBOLS]
+            out += (n @ bound.astype(np.float64)).astype(np.int64)
+        return out
+
 
 def remainder(doc_id: str | Column = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(4))
 
 
 def _sums(batches):
-    """Rows (lang, dimension, value): this task's bundles by language."""
+    """Rows (lang, dimension, value): this task's bundles by language, given out whenever MOST_HELD languages are held."""
     counts: dict[str, np.ndarray] = {}
+    encoder = Encoder()
+
+    def bundles():
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(encoder.whole(at, n[at]))], names=["lang", "dimension", "value"])
+        counts.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0), shared.texts_of(batch.column(1)), strict=True):
             grams = gram_counts(text)
             if grams is not None:
                 counts.setdefault(lang.as_py(), np.zeros(SYMBOLS**N, np.int64))[grams[0]] += grams[1]
-    encoder = Encoder()
-    for lang, n in counts.items():
-        at = np.flatnonzero(n)
-        profile = np.rint(encoder_exact(encoder, at, n[at])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(profile)], names=["lang", "dimension", "value"])
-
-
-def encoder_exact(encoder: Encoder, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The profile in whole numbers, so that sums do not depend on how rows are dealt to tasks."""
-    out = np.zeros(DIMENSIONS, np.int64)
-    for at in range(0, len(codes), 2048):
-        c, n = codes[at : at + 2048], counts[at : at + 2048]
-        bound = encoder.first[c // SYMBOLS**2] * encoder.second[c // SYMBOLS % SYMBOLS] * encoder.third[c % SYMBOLS]
-        out += (bound.astype(np.float64).T @ n.astype(np.float64)).astype(np.int64)
-    return out
+                if len(counts) >= MOST_HELD:
+                    yield from bundles()
+    yield from bundles()
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -436,7 +436,7 @@ def test_language_profile_is_the_bundle_of_bound_permuted_letters():
     for a, b, c in ((0, 1, 2), (1, 2, 3), (2, 3, 0), (3, 0, 1), (0, 1, 2), (1, 2, 0)):
         want += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
     assert np.array_equal(language_id.Encoder().profile(codes, counts), want)
-    assert np.array_equal(language_id.encoder_exact(language_id.Encoder(), codes, counts), want)
+    assert np.array_equal(language_id.Encoder().whole(codes, counts), want)
 
 
 # --- 10 SimHash near-dedup
