@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as T
 from millrace.functions.hashing import uniform
-from millrace.operators import ordering, packing, sampling, weighting
+from millrace.operators import packing, sampling, weighting
 from millrace.plans.book import WORDS_SQL, Book, digest_sql, table, uniform_sql
 
 BOOK = Book()
