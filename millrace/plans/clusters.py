@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as T
 from millrace.functions.hashing import uniform
-from millrace.operators import packing, sampling, weighting
+from millrace.operators import ordering, packing, sampling, weighting
 from millrace.plans.book import WORDS_SQL, Book, digest_sql, table, uniform_sql
 
 BOOK = Book()
@@ -153,12 +153,12 @@ WITH b AS (SELECT cluster_id, list(w ORDER BY doc_id, i)[1:CASE WHEN cluster_id
 """
 
 
-def _bins(spark, sf):
-    """One token array per cluster, of which two are shorter than a window."""
+def _bin_docs(spark, sf):
+    """Documents whose tokens make each cluster's stream of at most 5000, of which two are shorter than a window."""
     d = _docs(spark, sf).select("cluster_id", "doc_id", F.slice(T.words(F.col("text")), 1, 100).alias("w"))
-    whole = d.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "w"))).alias("p"))
-    n = F.when(F.col("cluster_id") == 3, 40).when(F.col("cluster_id") == 5, 1).otherwise(5000)
-    return whole.select("cluster_id", F.slice(F.flatten(F.transform("p", lambda x: x["w"])), F.lit(1), n).alias("tokens"))
+    most = F.when(F.col("cluster_id") == 3, 40).when(F.col("cluster_id") == 5, 1).otherwise(5000)
+    laid = ordering.prefix_sum(d, "doc_id", F.size("w").cast("bigint"), "at", by=["cluster_id"])
+    return laid.where(F.col("at") < most).select("cluster_id", "doc_id", F.slice("w", F.lit(1), F.least(F.size("w"), (most - F.col("at")).cast("int"))).alias("w"))
 
 
 @add(BIN_SQL + """
@@ -166,9 +166,10 @@ def _bins(spark, sf):
 SELECT cluster_id, cursor, array_to_string([t[(CASE WHEN n < 65 THEN x ELSE at_token + x END) % n + 1] FOR x IN range(0, 65)], ' ') AS tokens FROM r""")
 def bin_window_read(spark, sf):
     """Reads around the end; a short cluster is tiled from its start."""
-    b = _bins(spark, sf)
-    draws = b.select("cluster_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("cursor"))
-    return packing.window_reads(b, draws, 64, F.lit("0")).select("cluster_id", "cursor", F.array_join("window", " ").alias("tokens"))
+    d = _bin_docs(spark, sf)
+    cursors = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint")))
+    draws = d.select("cluster_id").distinct().withColumn("cursor", cursors).withColumn("offset", F.col("cursor") * 65)
+    return packing.window_reads(d, "doc_id", "w", draws, 64, F.lit("0")).select("cluster_id", "cursor", F.array_join("window", " ").alias("tokens"))
 
 
 @add(BIN_SQL + """
@@ -176,9 +177,12 @@ def bin_window_read(spark, sf):
 SELECT cluster_id, sample, array_to_string([t[(at_token + x) % n + 1] FOR x IN range(0, 64)], ' ') AS inputs, t[(at_token + 64) % n + 1] AS last_label, 64::BIGINT AS n_mask FROM r""")
 def bin_scoring_sample(spark, sf):
     """Consecutive windows from an offset; clusters shorter than a window give none; the mask is all ones."""
-    b = _bins(spark, sf).where(F.size("tokens") >= 65).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("sample"))
-    inputs, labels = A.shifted(A.window_at(F.col("tokens"), F.col("sample") * 65 + 7, 65))
-    return b.select("cluster_id", "sample", F.array_join(inputs, " ").alias("inputs"), F.element_at(labels, -1).alias("last_label"), F.size(inputs).cast("bigint").alias("n_mask"))
+    d = _bin_docs(spark, sf)
+    long_enough = d.groupBy("cluster_id").agg(F.sum(F.size("w")).alias("n")).where("n >= 65").select("cluster_id")
+    samples = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint")))
+    draws = long_enough.withColumn("sample", samples).withColumn("offset", F.col("sample") * 65 + 7)
+    inputs, labels = A.shifted(F.col("window"))
+    return packing.window_reads(d, "doc_id", "w", draws, 64, F.lit("0")).select("cluster_id", "sample", F.array_join(inputs, " ").alias("inputs"), F.element_at(labels, -1).alias("last_label"), F.size(inputs).cast("bigint").alias("n_mask"))
 
 
 @add(f"""

@@ -131,6 +131,19 @@ def test_prefix_sums_over_many_buckets(spark):
         total += v
 
 
+@pytest.mark.parametrize("block", [4, 64])
+def test_window_reads_from_documents(spark, block):
+    """Around the end, over many documents and blocks; short streams are tiled, empty ones read as given."""
+    docs = [(c, k, [f"{c}.{k}.{i}" for i in range(n)]) for c, lengths in ((0, [3, 0, 11, 7, 2]), (1, [2, 1]), (2, [0])) for k, n in enumerate(lengths)]
+    draws = [(c, o) for c in range(4) for o in (0, 1, 7, 20, 22, 23, 50)]
+    out = packing.window_reads(spark.createDataFrame(docs, "cluster_id long, k long, t array<string>"), "k", "t", spark.createDataFrame(draws, "cluster_id long, offset long"), 7, F.lit("-"), block)
+    got = {(r["cluster_id"], r["offset"]): r["window"] for r in out.collect()}
+    for c, o in draws:
+        stream = [t for d in docs if d[0] == c for t in d[2]]
+        want = ["-"] * 8 if not stream else [stream[((o if len(stream) >= 8 else 0) + i) % len(stream)] for i in range(8)]
+        assert got[c, o] == want
+
+
 # --- sampling
 
 
