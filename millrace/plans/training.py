@@ -466,7 +466,7 @@ def run_averages(spark, sf):
 
 
 @add("""
-SELECT s AS step, CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s < 61 THEN 1.0 ELSE 0.1 + 0.9 * (1 - (s + 1 - 61) / 40.0) END::DOUBLE AS linear,
+SELECT s AS step, round(CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s < 61 THEN 1.0 ELSE 0.1 + 0.9 * (1 - (s + 1 - 61) / 40.0) END, 9)::DOUBLE AS linear,
  round(CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s < 61 THEN 1.0 ELSE 1 - sqrt((s + 1 - 61) / 40.0) END, 9)::DOUBLE AS root, round(CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s < 61 THEN 1.0 ELSE 0.5 * (1 + cos(pi() * (s + 1 - 61) / 40.0)) END, 9)::DOUBLE AS cosine,
  round(CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s < 11 THEN 1.0 ELSE 1 - (s + 1 - 11) / 90.0 END, 9)::DOUBLE AS no_stable FROM range(0, 100) r(s)""")
 def lr_schedule(spark, sf):
