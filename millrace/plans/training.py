@@ -323,50 +323,64 @@ e AS (SELECT *, CASE WHEN tok LIKE '%.' THEN 1 ELSE 0 END AS eos FROM w),
 d AS (SELECT *, coalesce(sum(CASE WHEN eos = 1 OR pos = 23 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_no FROM e)"""
 
 
+WINDOW = 24
+
+
+def _token_windows(spark, sf):
+    """Each whole text in consecutive windows: key (doc_id, window) and t, its WINDOW tokens, of which the last window's are filled up; an empty text
+    is one window of filler."""
+    d = table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    starts = A.upto(F.greatest(F.ceil(F.size("w") / WINDOW), F.lit(1)))
+    cut = F.transform(starts, lambda i: A.fitted(F.slice("w", i * WINDOW + 1, F.lit(WINDOW)), WINDOW, F.lit("x")))
+    d = d.select("doc_id", F.posexplode(cut).alias("window", "t"))
+    return d.select(F.struct("doc_id", F.col("window").cast("bigint").alias("window")).alias("key"), "t")
+
+
 def _cells(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", A.fitted(T.words(F.col("text")), 24, F.lit("x")).alias("t"))
-    return masks.document_index(masks.exploded(d, "doc_id", "t"), "doc_id", F.col("token").endswith("."), 24)
+    return masks.document_index(masks.exploded(_token_windows(spark, sf), "key", "t"), "key", F.col("token").endswith("."), WINDOW)
 
 
 @add(f"WITH {CELL_SQL} SELECT doc_id, pos, doc_no FROM d")
 def doc_index(spark, sf):
     """Sentences stand for documents."""
-    return _cells(spark, sf).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "doc_no")
+    return _cells(spark, sf).select("key.*", F.col("pos").cast("bigint").alias("pos"), "doc_no")
 
 
 @add(f"WITH {CELL_SQL}, o AS (SELECT doc_id, 0 AS s FROM d UNION SELECT doc_id, pos + 1 FROM d WHERE eos = 1 AND pos < 23) SELECT doc_id, string_agg((doc_id * 24 + s)::VARCHAR, ',' ORDER BY s) AS offsets FROM o GROUP BY doc_id")
 def cu_seqlens(spark, sf):
-    """W7, X6."""
-    t = A.fitted(T.words(F.col("text")), 24, F.lit("x"))
-    o = masks.offsets(t, lambda x: x.endswith("."), F.col("doc_id"), 24)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(o, lambda x: x.cast("string")), ",").alias("offsets"))
+    """The rows of the flat batch are all windows in the order of documents."""
+    n = table(spark, sf, "documents").select("doc_id", F.greatest(F.ceil(T.token_count(F.col("text")) / WINDOW), F.lit(1)).alias("n"))
+    first = ordering.prefix_sum(n, "doc_id", F.col("n"), "first").select("doc_id", "first")
+    d = _token_windows(spark, sf).select("key.*", "t").join(first, "doc_id")
+    o = masks.offsets(F.col("t"), lambda x: x.endswith("."), F.col("first") + F.col("window"), WINDOW)
+    return d.select("doc_id", "window", F.array_join(F.transform(o, lambda x: x.cast("string")), ",").alias("offsets"))
 
 
 @add(f"WITH {CELL_SQL} SELECT a.doc_id, count(*)::BIGINT AS pairs FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos GROUP BY a.doc_id")
 def causal_mask_count(spark, sf):
     """J8."""
-    return masks.causal_pairs(_cells(spark, sf), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return masks.causal_pairs(_cells(spark, sf), "key").groupBy("key").agg(F.count(F.lit(1)).alias("pairs")).select("key.*", "pairs")
 
 
 @add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, min(b.pos) AS first_kv, count(*)::BIGINT AS n FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.pos - b.pos < 5 GROUP BY a.doc_id, a.pos")
 def sliding_window_pairs(spark, sf):
     """J9."""
-    p = masks.causal_pairs(_cells(spark, sf), "doc_id", width=5)
-    return p.groupBy("doc_id", F.col("q").cast("bigint").alias("q")).agg(F.min("kv").cast("bigint").alias("first_kv"), F.count(F.lit(1)).alias("n"))
+    p = masks.causal_pairs(_cells(spark, sf), "key", width=5)
+    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.min("kv").cast("bigint").alias("first_kv"), F.count(F.lit(1)).alias("n")).select("key.*", "q", "first_kv", "n")
 
 
 @add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, count(*)::BIGINT AS n, sum(b.pos)::BIGINT AS kv_sum FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.doc_no = b.doc_no GROUP BY a.doc_id, a.pos")
 def document_mask_pairs(spark, sf):
     """Causal and within a document."""
-    p = masks.causal_pairs(_cells(spark, sf), "doc_id", F.col("doc_no"))
-    return p.groupBy("doc_id", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum("kv").cast("bigint").alias("kv_sum"))
+    p = masks.causal_pairs(_cells(spark, sf), "key", F.col("doc_no"))
+    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum("kv").cast("bigint").alias("kv_sum")).select("key.*", "q", "n", "kv_sum")
 
 
 @add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, count(*)::BIGINT AS n FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.pos // 7 = b.pos // 7 GROUP BY a.doc_id, a.pos")
 def fixed_block_pairs(spark, sf):
     """Causal and within blocks of seven."""
-    p = masks.causal_pairs(_cells(spark, sf), "doc_id", F.floor(F.col("pos") / 7))
-    return p.groupBy("doc_id", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    p = masks.causal_pairs(_cells(spark, sf), "key", F.floor(F.col("pos") / 7))
+    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n")).select("key.*", "q", "n")
 
 
 @add(f"WITH {CELL_SQL}, p AS (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, doc_no) AS rel, eos = 1 AS m FROM d), l AS (SELECT *, rel < lag(rel) OVER (PARTITION BY doc_id ORDER BY pos) AS fresh, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts, eos IS DISTINCT FROM lag(eos) OVER (PARTITION BY doc_id ORDER BY pos) AS kept FROM p) SELECT doc_id, count_if(fresh)::BIGINT AS n_resets, count_if(starts)::BIGINT AS n_runs, count_if(kept)::BIGINT AS n_collapsed FROM l GROUP BY doc_id")
@@ -375,11 +389,11 @@ def reset_and_run_detection(spark, sf):
     from pyspark.sql import Window
 
     c = _cells(spark, sf).withColumn("m", F.col("token").endswith("."))
-    c = c.withColumn("rel", F.col("pos") - F.min("pos").over(Window.partitionBy("doc_id", "doc_no"))).drop("doc_no")
-    r = masks.resets(c, "doc_id", "rel").groupBy("doc_id").agg(F.max("doc_no").alias("n_resets"))
-    s = masks.run_starts(c, "doc_id", F.col("m")).groupBy("doc_id").agg(F.count_if("starts").alias("n_runs"))
-    k = masks.collapsed(c, "doc_id", "m").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_collapsed"))
-    return r.join(s, "doc_id").join(k, "doc_id").select("doc_id", "n_resets", "n_runs", "n_collapsed")
+    c = c.withColumn("rel", F.col("pos") - F.min("pos").over(Window.partitionBy("key", "doc_no"))).drop("doc_no")
+    r = masks.resets(c, "key", "rel").groupBy("key").agg(F.max("doc_no").alias("n_resets"))
+    s = masks.run_starts(c, "key", F.col("m")).groupBy("key").agg(F.count_if("starts").alias("n_runs"))
+    k = masks.collapsed(c, "key", "m").groupBy("key").agg(F.count(F.lit(1)).alias("n_collapsed"))
+    return r.join(s, "key").join(k, "key").select("key.*", "n_resets", "n_runs", "n_collapsed")
 
 
 # --- metrics
