@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays as A
 from millrace.functions import text as T
 from millrace.functions.hashing import uniform
-from millrace.operators import ordering, packing, sampling, weighting
+from millrace.operators import packing, sampling, weighting
 from millrace.plans.book import WORDS_SQL, Book, digest_sql, table, uniform_sql
 
 BOOK = Book()
@@ -154,21 +154,19 @@ WITH b AS (SELECT cluster_id, list(w ORDER BY doc_id, i)[1:CASE WHEN cluster_id
 
 
 def _bin_docs(spark, sf):
-    """Documents whose tokens make each cluster's stream of at most 5000, of which two are shorter than a window."""
-    d = _docs(spark, sf).select("cluster_id", "doc_id", F.slice(T.words(F.col("text")), 1, 100).alias("w"))
-    most = F.when(F.col("cluster_id") == 3, 40).when(F.col("cluster_id") == 5, 1).otherwise(5000)
-    laid = ordering.prefix_sum(d, "doc_id", F.size("w").cast("bigint"), "at", by=["cluster_id"])
-    return laid.where(F.col("at") < most).select("cluster_id", "doc_id", F.slice("w", F.lit(1), F.least(F.size("w"), (most - F.col("at")).cast("int"))).alias("w"))
+    """Documents whose words make each cluster's stream."""
+    return _docs(spark, sf).select("cluster_id", "doc_id", T.words(F.col("text")).alias("w"))
 
 
 @add(BIN_SQL + """
 , r AS (SELECT cluster_id, c AS cursor, t, len(t) AS n, c * 65 AS at_token FROM b, range(0, 9) q(c))
 SELECT cluster_id, cursor, array_to_string([t[(CASE WHEN n < 65 THEN x ELSE at_token + x END) % n + 1] FOR x IN range(0, 65)], ' ') AS tokens FROM r""")
 def bin_window_read(spark, sf):
-    """Reads around the end; a short cluster is tiled from its start."""
+    """Each cluster's whole stream, the last read around the end; a short cluster is tiled from its start."""
     d = _bin_docs(spark, sf)
-    cursors = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint")))
-    draws = d.select("cluster_id").distinct().withColumn("cursor", cursors).withColumn("offset", F.col("cursor") * 65)
+    n = d.groupBy("cluster_id").agg(F.sum(F.size("w")).alias("n")).where("n > 0")
+    cursors = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / 65) - 1))
+    draws = n.select("cluster_id", cursors.alias("cursor")).withColumn("offset", F.col("cursor") * 65)
     return packing.window_reads(d, "doc_id", "w", draws, 64, F.lit("0")).select("cluster_id", "cursor", F.array_join("window", " ").alias("tokens"))
 
 

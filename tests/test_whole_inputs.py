@@ -3,7 +3,9 @@
 import __spark_entry__ as entry
 import pytest
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
+from millrace.operators import packing
 from millrace.plans.book import WORDS_SQL as W
 
 SF = entry.SMALL
@@ -41,3 +43,23 @@ MASKS = {
 @pytest.mark.parametrize("name", MASKS)
 def test_masks_see_every_window(spark, db, name):
     check(spark, db, name, f"WITH {CELLS} {MASKS[name]}")
+
+
+BIN = f"WITH b AS (SELECT substr(source, 4)::BIGINT AS cluster_id, flatten(list({W} ORDER BY doc_id)) AS t FROM documents GROUP BY 1)"
+BINS = {
+    "bin_window_read": "SELECT cluster_id, c AS cursor, array_to_string([t[(c * 65 + x) % len(t) + 1] FOR x IN range(0, 65)], ' ') AS tokens FROM (SELECT cluster_id, t, unnest(range(0, (len(t) + 64) // 65)) AS c FROM b WHERE len(t) >= 65)",
+    "bin_scoring_sample": "SELECT cluster_id, c AS sample, array_to_string([t[(7 + c * 65 + x) % len(t) + 1] FOR x IN range(0, 64)], ' ') AS inputs, t[(7 + c * 65 + 64) % len(t) + 1] AS last_label, 64::BIGINT AS n_mask FROM b, range(0, 3) q(c) WHERE len(t) >= 65",
+}
+
+
+@pytest.mark.parametrize("name", BINS)
+def test_clusters_are_read_to_their_ends(spark, db, name):
+    check(spark, db, name, f"{BIN} {BINS[name]}")
+
+
+def test_short_clusters_are_tiled(spark):
+    docs = spark.createDataFrame([(3, 0, [str(i) for i in range(25)]), (3, 1, [str(i) for i in range(25, 40)]), (5, 2, ["a"])], "cluster_id bigint, doc_id bigint, w array<string>")
+    draws = spark.createDataFrame([(3, 0), (3, 65), (5, 0)], "cluster_id bigint, offset bigint")
+    got = {(r["cluster_id"], r["offset"]): r["window"] for r in packing.window_reads(docs, "doc_id", "w", draws, 64, F.lit("0")).collect()}
+    tiled = [str(i % 40) for i in range(65)]
+    assert got == {(3, 0): tiled, (3, 65): tiled, (5, 0): ["a"] * 65}
