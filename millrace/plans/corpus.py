@@ -251,8 +251,8 @@ SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, count(*)::BIGINT AS n_samples
 
 @add(_greedy_sql(512, 4))
 def pack_greedy(spark, sf):
-    """G2 over documents of up to 400 words, in four shards."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.least(F.size(T.words(F.col("text"))), F.lit(400)).alias("n")).where("n > 0 AND n <= 512")
+    """G2 over documents that a bin can hold, in four shards."""
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(T.words(F.col("text"))).alias("n")).where("n > 0 AND n <= 512")
     bins = packing.greedy(d, "shard", "doc_id", F.col("n"), 512).join(d.select(F.col("doc_id").alias("key"), "n"), "key")
     return bins.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n").cast("bigint").alias("used"), F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda x: x.cast("string")), ",").alias("keys"))
 

@@ -63,3 +63,18 @@ def test_short_clusters_are_tiled(spark):
     got = {(r["cluster_id"], r["offset"]): r["window"] for r in packing.window_reads(docs, "doc_id", "w", draws, 64, F.lit("0")).collect()}
     tiled = [str(i % 40) for i in range(65)]
     assert got == {(3, 0): tiled, (3, 65): tiled, (5, 0): ["a"] * 65}
+
+
+def test_packing_takes_true_lengths(spark, db):
+    n = dict(db.execute(f"SELECT doc_id, len({W}) FROM documents").fetchall())
+    want = []
+    for shard in range(4):
+        held = []
+        for k in sorted(k for k in n if k % 4 == shard and 0 < n[k] <= 512):
+            if sum(n[x] for x in held) + n[k] > 512:
+                want.append((shard, held))
+                held = []
+            held = [*held, k]
+        want.append((shard, held))
+    got = [(r["shard"], [int(x) for x in r["keys"].split(",")], r["n_samples"], r["used"]) for r in entry.queries()["pack_greedy"](spark, SF).collect()]
+    assert sorted(got) == sorted((s, keys, len(keys), sum(n[k] for k in keys)) for s, keys in want)
