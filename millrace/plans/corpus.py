@@ -148,13 +148,13 @@ WITH v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT
 SELECT (SELECT count(*) FROM v)::BIGINT AS vocab_size, doc_id, array_to_string(list(v.id ORDER BY i), ',') AS ids
 FROM (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, {W} AS w, unnest(range(1, least(len({W}), 10) + 1)) AS i FROM documents)) JOIN v USING (word) GROUP BY doc_id""")
 def vocab_ids(spark, sf):
-    """a vocabulary in order of words, and the ids of each document's first ten words."""
+    """a vocabulary in order of words, and the ids of each document's words; a text without words has none."""
     d = table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
     words = d.select(F.explode("w").alias("word")).distinct()
     # The order of words in two phases: buckets are their first two bytes.
     vocab = ordering.ordinal(words.withColumn("h", F.conv(F.rpad(F.hex(F.substring(F.encode("word", "utf-8"), 1, 2)), 4, "0"), 16, 10).cast("bigint")), "h", "id", ties=["word"], span=1).select("word", "id")
     size = vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
-    used = d.select("doc_id", F.posexplode(F.slice("w", 1, 10)).alias("i", "word")).join(vocab, "word")
+    used = d.select("doc_id", F.posexplode_outer("w").alias("i", "word")).join(vocab, "word", "left")
     ids = used.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["id"].cast("string")), ",").alias("ids"))
     return ids.withColumn("one", F.lit(1)).join(F.broadcast(size.withColumn("one", F.lit(1))), "one").select("vocab_size", "doc_id", "ids")
 
@@ -203,7 +203,7 @@ SELECT doc_id, array_to_string([CASE WHEN x IN ('the', 'of', 'la', 'der') THEN '
 def special_mask(spark, sf):
     """J11, Y2-Y4, F20, P23."""
     special = ["the", "of", "la", "der"]
-    d = table(spark, sf, "documents").select("doc_id", F.slice(T.words(F.col("text")), 1, 12).alias("h"))
+    d = table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("h"))
     ig, j = F.lit("-100"), lambda c: F.array_join(c, " ")
     return d.select(
         "doc_id", j(A.member_mask(F.col("h"), special, ig)).alias("masked"), j(A.prompt_mask(F.col("h"), F.col("doc_id") % 5, ig)).alias("prompt_masked"), j(A.fitted(F.col("h"), 16, F.lit("<pad>"))).alias("padded"),
@@ -217,8 +217,8 @@ f AS (SELECT batch, r, list_concat(h, ['</s>' FOR i IN range(0, greatest(9 - len
 UNION ALL SELECT batch, unnest(range(m + 1, 4)), ['</s>' FOR i IN range(0, 9)], ['-100' FOR i IN range(0, 9)] FROM (SELECT batch, max(r) AS m FROM t GROUP BY batch))
 SELECT batch::BIGINT AS batch, r::BIGINT AS row, array_to_string(i[1:8], ' ') AS inputs, array_to_string(l[2:9], ' ') AS labels FROM f""")
 def pad_batch(spark, sf):
-    """Batches are filled up to four rows of eight."""
-    d = table(spark, sf, "documents").where("doc_id % 4 < 3").select(F.floor(F.col("doc_id") / 4).alias("batch"), (F.col("doc_id") % 4).alias("r"), F.slice(T.words(F.col("text")), 1, 12).alias("h"))
+    """Batches of three documents are filled up to four rows of eight."""
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("batch"), (F.col("doc_id") % 3).alias("r"), T.words(F.col("text")).alias("h"))
     out = packing.collated(d, ["batch"], "r", "h", "h", 8, 4, F.lit("</s>"), F.lit("-100"))
     return out.select("batch", "row", F.array_join("inputs", " ").alias("inputs"), F.array_join("labels", " ").alias("labels"))
 

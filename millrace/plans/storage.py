@@ -119,10 +119,9 @@ def dual_encoders(spark, sf):
 SELECT doc_id, t AS sample, n_special + 7 AS n_tokens, n_special + 1 AS n_masked FROM s""")
 def multimodal_samples(spark, sf):
     """A picture's placeholder and a text as one sample, split to pieces, with marks masked in the labels."""
-    w = F.slice(T.words(F.col("text")), 1, 6)
-    texts, _ = filters.interleaved(F.array_join(w, " "), F.lit("img"))
+    texts, _ = filters.interleaved(F.array_join(T.words(F.col("text")), " "), F.lit("img"))
     s = T.placeholders(texts, F.array(F.col("doc_id") % 3 + 1), "<v>", "<i>", "</v>", "</s>")
-    d = table(spark, sf, "documents").where(F.size(T.words(F.col("text"))) >= 6).select("doc_id", s.alias("sample"))
+    d = table(spark, sf, "documents").select("doc_id", s.alias("sample"))
     # Marks are pieces of their own; between them, words are.
     pieces = F.filter(F.split(F.regexp_replace("sample", r"(</?v>|<i>|</s>)", " $1 "), " +"), lambda x: x != "")
     masked = A.member_mask(pieces, ["<v>", "<i>", "</v>", "</s>"], F.lit("-100"))

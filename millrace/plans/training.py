@@ -199,12 +199,12 @@ WITH s AS (SELECT conv_id % 3 AS shard, conv_id, turn, {W}[1:6] AS p, {W}[7:10]
 o AS (SELECT shard, list(p ORDER BY conv_id) AS p, list(r ORDER BY conv_id) AS r FROM s GROUP BY shard)
 SELECT shard, md5(array_to_string(flatten([list_concat(p[i], r[i]) FOR i IN range(1, len(p) + 1)]), ' ')) AS tokens_md5, array_to_string([len(x) FOR x IN p], ',') AS prompt_lengths, array_to_string([len(x) FOR x IN r], ',') AS response_lengths FROM o""")
 def episode_collation(spark, sf):
-    """G9, Y11, H2."""
-    c = table(spark, sf, "conversations")
-    d = c.join(F.broadcast(c.agg(F.min("turn").alias("turn"))), "turn").select("conv_id", F.slice(T.words(F.col("text")), 1, 6).alias("p"), F.slice(T.words(F.col("text")), 7, 4).alias("r"))
-    out = rollouts.episodes(d, F.col("conv_id") % 3, "conv_id", "p", "r")
+    """Each turn is a step; a row's first six words are the prompt, and all others the response."""
+    d = table(spark, sf, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w"))
+    d = d.select("conv_id", "turn", F.slice("w", 1, 6).alias("p"), F.slice("w", F.lit(7), F.greatest(F.size("w") - 6, F.lit(0))).alias("r"))
+    out = rollouts.episodes(d, F.struct("turn", (F.col("conv_id") % 3).alias("shard")), "conv_id", "p", "r")
     s = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return out.select("shard", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), s("prompt_lengths"), s("response_lengths"))
+    return out.select("shard.*", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), s("prompt_lengths"), s("response_lengths"))
 
 
 @add("""

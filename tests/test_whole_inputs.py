@@ -78,3 +78,27 @@ def test_packing_takes_true_lengths(spark, db):
         want.append((shard, held))
     got = [(r["shard"], [int(x) for x in r["keys"].split(",")], r["n_samples"], r["used"]) for r in entry.queries()["pack_greedy"](spark, SF).collect()]
     assert sorted(got) == sorted((s, keys, len(keys), sum(n[k] for k in keys)) for s, keys in want)
+
+
+SPECIAL = "('the', 'of', 'la', 'der')"
+WHOLE_TEXTS = {
+    "vocab_ids": f"""WITH t AS (SELECT doc_id, {W} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t),
+v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM u)), m AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM u JOIN v USING (word) GROUP BY doc_id)
+SELECT (SELECT count(*) FROM v)::BIGINT AS vocab_size, doc_id, coalesce(ids, '') AS ids FROM t LEFT JOIN m USING (doc_id)""",
+    "special_mask": f"""WITH t AS (SELECT doc_id, {W} AS h FROM documents)
+SELECT doc_id, array_to_string([CASE WHEN x IN {SPECIAL} THEN '-100' ELSE x END FOR x IN h], ' ') AS masked,
+  array_to_string([CASE WHEN i < least(greatest(doc_id % 5 - 1, 0), len(h)) THEN '-100' ELSE h[i + 1] END FOR i IN range(0, len(h))], ' ') AS prompt_masked,
+  array_to_string(list_concat(h, ['<pad>' FOR i IN range(0, 16)])[1:16], ' ') AS padded, array_to_string(list_concat(h, ['<pad>', '<pad>', '<pad>', '<pad>'])[1:4], ' ') AS clipped,
+  len([x FOR x IN h IF x IN {SPECIAL}])::BIGINT AS n_special FROM t""",
+    "pad_batch": f"""WITH t AS (SELECT doc_id // 3 AS batch, doc_id % 3 AS r, {W} AS h FROM documents), g AS (SELECT DISTINCT batch, q.r AS r FROM t, range(0, 4) q(r)), f AS (SELECT batch, r, coalesce(h, []) AS h FROM g LEFT JOIN t USING (batch, r))
+SELECT batch, r AS row, array_to_string(list_concat(h, ['</s>' FOR i IN range(0, 9)])[1:8], ' ') AS inputs, array_to_string(list_concat(h, ['-100' FOR i IN range(0, 9)])[2:9], ' ') AS labels FROM f""",
+    "multimodal_samples": f"""WITH t AS (SELECT doc_id, {W} AS w, doc_id % 3 + 3 AS n FROM documents)
+SELECT doc_id, '<v>' || repeat('<i>', (doc_id % 3 + 1)::INT) || '</v>' || coalesce(array_to_string(w, ' '), '') || '</s>' AS sample, n + len(w) + 1 AS n_tokens, n + 1 AS n_masked FROM t""",
+    "episode_collation": f"""WITH s AS (SELECT turn, conv_id % 3 AS shard, conv_id, {W} AS w FROM conversations)
+SELECT turn, shard, md5(array_to_string(flatten(list(w ORDER BY conv_id)), ' ')) AS tokens_md5, string_agg(least(len(w), 6)::VARCHAR, ',' ORDER BY conv_id) AS prompt_lengths, string_agg(greatest(len(w) - 6, 0)::VARCHAR, ',' ORDER BY conv_id) AS response_lengths FROM s GROUP BY ALL""",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_TEXTS)
+def test_whole_texts_of_all_rows(spark, db, name):
+    check(spark, db, name, WHOLE_TEXTS[name])
