@@ -102,3 +102,23 @@ SELECT turn, shard, md5(array_to_string(flatten(list(w ORDER BY conv_id)), ' '))
 @pytest.mark.parametrize("name", WHOLE_TEXTS)
 def test_whole_texts_of_all_rows(spark, db, name):
     check(spark, db, name, WHOLE_TEXTS[name])
+
+
+WHOLE_ROWS = {
+    "patchify_blocks": """WITH p AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), k AS (SELECT vec_id, v, q.p AS patch, r.i AS i FROM p, range(0, 4) q(p), range(0, 16) r(i))
+SELECT vec_id, patch, round(sum(v[((patch // 2) * 4 + (i // 4)) * 8 + (patch % 2) * 4 + i % 4 + 1] * (i + 1)), 4) AS checksum FROM k GROUP BY vec_id, patch""",
+    "interleaved_pairs": "SELECT doc_id, doc_id % 3 = 0 AS kept, ',' || source AS texts, 'img' || ',' AS images FROM documents",
+    "order_by_request": "SELECT doc_id::VARCHAR AS request_id, doc_id FROM documents",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_ROWS)
+def test_whole_rows(spark, name):
+    """On sf0.1, where ids go past 1000."""
+    sf = "/root/testdata/sf0.1"
+    assert difference(spark, connect(sf), entry.queries()[name], WHOLE_ROWS[name], sf) == ""
+
+
+def test_requests_are_in_the_order_of_numbers(spark):
+    ids = [r["doc_id"] for r in entry.queries()["order_by_request"](spark, SF).collect()]
+    assert ids == sorted(ids) and len(ids) == spark.read.parquet(f"{SF}/documents.parquet").count()
