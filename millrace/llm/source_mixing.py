@@ -80,13 +80,17 @@ def folded(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(table, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, rounds: int = 40, tolerance: float = 1e-4, unlisted: bool = False) -> list[list[float]]:
     """The residuals of each step, from (n_tokens, p). total: tokens aimed at; None: as few as let no domain be read less than
-    once, and one in a hundred more, so that the fit's tolerance leaves no document out."""
+    once, and one in a hundred more, for the fit's tolerance. unlisted: domains that weights lacks are aimed at their share of the tokens at hand, and the
+    weights divide the rest."""
     sums = lambda r: [F.coalesce(F.sum(r * F.col("n_tokens") * F.element_at("p", d + 1)), F.lit(0.0)).alias(f"s{d}") for d in range(len(domains))]
     have = np.array(list(member.agg(*sums(F.lit(1.0))).first()), float)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
+    rest = np.array([unlisted and d not in weights for d in domains])
+    if rest.any() and have.sum() > 0:
+        share = np.where(rest, have / have.sum(), share * (1 - have[rest].sum() / have.sum()) if not rest.all() else 0.0)
     if total is None:
         total = 1.01 * float(max((n / s for n, s in zip(have, share, strict=True) if s > 0), default=0.0))
     target, steps, now = share * total, [], have
@@ -117,18 +121,27 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """docs, all columns, with n_tokens, domain, rate and copies added (under names that docs lacks), without rows of no copies."""
+    """docs, all columns, with n_tokens, domain, rate and copies added (under names that docs lacks). No row goes: one that is not
+    to be read has 0 copies. Without weights, WEIGHTS hold, and labelled domains that they lack keep their share of the tokens. Without a total,
+    rates are scaled until a text with words whose likeliest domain has weight is read at least once; a rate of 0 stays."""
     domains, w = train(labelled)
     m = shared.unused(docs, "__m")
     held = shared.written(docs.withColumn(m, members(domains, w)), "mixed")
-    steps = fit(held.select(f"{m}.n_tokens", f"{m}.p"), domains, weights or WEIGHTS, total)
+    target = weights or WEIGHTS
+    steps = fit(held.select(f"{m}.n_tokens", f"{m}.p"), domains, target, total, unlisted=not weights)
     p, n = F.col(f"{m}.p"), F.col(f"{m}.n_tokens")
     best = F.element_at(F.array(*map(F.lit, domains)), F.array_position(p, F.array_max(p)).cast("int"))
     rate = shared.unused(docs, "rate")
-    out = held.withColumn(rate, folded(p, steps))
+    fitted = folded(p, steps)
+    if total is None:
+        # Posteriors are soft: a text of the scarcest domain that is partly another's has a rate under that domain's.
+        aimed = [d for d in domains if target.get(d, 0.0 if weights else 1.0) > 0]
+        least = held.select(n.alias("n"), best.alias("d"), fitted.alias("r")).where((F.col("n") > 0) & F.col("d").isin(aimed) & (F.col("r") > 0)).agg(F.min("r")).first()[0]
+        if least is not None and least < 1:
+            fitted = fitted * (1.000001 / least)
+    out = held.withColumn(rate, fitted)
     added = {shared.unused(docs, "n_tokens"): n, shared.unused(docs, "domain"): best, shared.unused(docs, "copies"): copies(F.col(rate), 5, F.xxhash64("text"), n)}
-    out = out.withColumns(added)
-    return out.where(F.col(list(added)[2]) > 0).select(*docs.columns, rate, *added)
+    return out.withColumns(added).select(*docs.columns, rate, *added)
 
 
 def labelled_table(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
