@@ -1,22 +1,25 @@
-"""Attention structure of token windows as relations: documents in a window, offsets, and who sees whom."""
+"""Attention structure of token windows as index arithmetic over each row's arrays: documents in a window, offsets, and who sees whom."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let, upto
+
 
-def exploded(windows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, pos, token)."""
-    return windows.select(key, F.posexplode(tokens).alias("pos", "token"))
+def document_numbers(tokens: Column, is_end: Callable[[Column], Column]) -> Column:
+    """Of each position, the number of ends before it; what follows an end begins a document. Made run by run, so its cost grows with the window."""
+    n = F.size(tokens)
+    after = F.filter(F.transform(tokens, lambda t, i: F.when(is_end(t), i + 1)), lambda x: x.isNotNull() & (x < n))
 
+    def runs(cuts: Column) -> Column:
+        stops = F.concat(F.slice(cuts, 2, F.size(cuts)), F.array(n))
+        return F.flatten(F.transform(F.zip_with(cuts, stops, lambda a, b: b - a), lambda length, k: F.array_repeat(k.cast("bigint"), length)))
 
-def document_index(cells: DataFrame, key: str, is_end: Column, length: int) -> DataFrame:
-    """cells with doc_no: the number of ends before each position; the last position always counts as an end (of what is before the next
-    window)."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.when(is_end | (F.col("pos") == length - 1), 1).otherwise(0)
-    return cells.withColumn("doc_no", F.coalesce(F.sum(end).over(w), F.lit(0)).cast("bigint"))
+    return F.when(n > 0, let(F.concat(F.array(F.lit(0)), after), runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def offsets(tokens: Column, is_end, row: Column, length: int) -> Column:
@@ -26,37 +29,50 @@ def offsets(tokens: Column, is_end, row: Column, length: int) -> Column:
     return F.transform(F.filter(ends, lambda x: x < length), lambda x: x.cast("bigint") + row * length)
 
 
-def causal_pairs(cells: DataFrame, key: str, block: Column | None = None, width: int | None = None) -> DataFrame:
-    """(key, q, kv) for kv <= q; only within equal `block` (a document's number, or a fixed block), and less than `width` apart. Windows are
-    short, so pairs are made within a row: each window's positions are one array."""
+def run_begins(blocks: Column) -> Column:
+    """Of each position, where its run of equal values begins."""
+
+    def of(b: Column) -> Column:
+        cuts = F.filter(F.transform(b, lambda x, i: F.when((i == 0) | (F.try_element_at(b, F.greatest(i, F.lit(1))) != x), i)), lambda x: x.isNotNull())
+        stops = lambda c: F.concat(F.slice(c, 2, F.size(c)), F.array(F.size(b)))
+        return let(cuts, lambda c: F.flatten(F.zip_with(c, stops(c), lambda a, z: F.array_repeat(a, z - a))))
+
+    return F.when(F.size(blocks) > 0, let(blocks, of)).otherwise(F.array().cast("array<int>"))
+
+
+def first_seen(length: Column, blocks: Column | None = None, width: int | None = None) -> Column:
+    """Of each query position, the first key position that it sees in a causal mask: within its run of equal `blocks` (documents' numbers, or fixed
+    blocks), and less than `width` away. A query sees all positions from there to its own, so this array is the whole mask."""
     if width is not None and width < 1:
         raise ValueError("a sliding window has one position at least")
-    b = block if block is not None else F.lit(0)
-    whole = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", b.alias("b")))).alias("p"))
-    each = whole.select(key, "p", F.explode("p").alias("__q"))
-    at, own = F.col("__q")["pos"], F.col("__q")["b"]
-    low = F.lit(0) if width is None else F.greatest(at - width + 1, F.lit(0))
-    seen = F.filter("p", lambda x: (x["pos"] <= at) & (x["pos"] >= low) & (x["b"] == own))
-    return each.select(key, at.alias("q"), F.explode(seen).alias("__kv")).select(key, "q", F.col("__kv")["pos"].alias("kv"))
+    low = F.transform(upto(length), lambda _: F.lit(0)) if blocks is None else run_begins(blocks)
+    return low if width is None else F.transform(low, lambda x, i: F.greatest(x, i - width + 1))
+
+
+def causal_pairs(windows: DataFrame, first: Column, *key: str) -> DataFrame:
+    """(key, q, kv): the pairs of the mask that first_seen() gives, one row each."""
+    each = windows.select(*key, F.posexplode(first).alias("q", "__low"))
+    return each.select(*key, "q", F.explode(F.sequence("__low", "q")).alias("kv"))
+
+
+def relative(blocks: Column) -> Column:
+    """Positions from 0 in each run of equal values."""
+    return F.transform(run_begins(blocks), lambda x, i: i - x)
 
 
-def resets(cells: DataFrame, key: str, position: str) -> DataFrame:
-    """cells with `doc_no`: a position smaller than the one before begins a document."""
-    w = Window.partitionBy(key).orderBy("pos")
-    fresh = F.when(F.col(position) < F.lag(position).over(w), 1).otherwise(0)
-    return cells.withColumn("__fresh", fresh).withColumn("doc_no", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("__fresh")
+def resets(positions: Column) -> Column:
+    """How many positions are smaller than the one before, each of which begins a document."""
+    return F.size(F.filter(F.transform(positions, lambda x, i: (i > 0) & (F.try_element_at(positions, F.greatest(i, F.lit(1))) > x)), lambda x: x))
 
 
-def run_starts(cells: DataFrame, key: str, member: Column) -> DataFrame:
-    """cells with `starts`: is a member, and the one before is not."""
-    w = Window.partitionBy(key).orderBy("pos")
-    return cells.withColumn("starts", member & ~F.coalesce(F.lag(member).over(w), F.lit(False)))
+def run_starts(members: Column) -> Column:
+    """How many positions are members of which the one before is none."""
+    return F.size(F.filter(F.transform(members, lambda x, i: x & ((i == 0) | ~F.try_element_at(members, F.greatest(i, F.lit(1))))), lambda x: x))
 
 
-def collapsed(cells: DataFrame, key: str, value: str) -> DataFrame:
+def collapsed(values: Column) -> Column:
     """Without repeats of the value right before."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy("pos"))
-    return cells.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col(value))).drop("__b")
+    return F.transform(F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), ((i > 0) & (F.try_element_at(values, F.greatest(i, F.lit(1))) == x)).alias("again"))), lambda s: ~s["again"]), lambda s: s["x"])
 
 
 def rope_positions(kinds: Column, grids: Column, positions: Column) -> Column:

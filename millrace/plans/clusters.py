@@ -148,9 +148,7 @@ def pack_weighted_stream(spark, sf):
     return packing.concat_and_chunk(read.where(F.col("t").isNotNull()), "t", "draw", 128).select("window_id", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-BIN_SQL = f"""
-WITH b AS (SELECT cluster_id, list(w ORDER BY doc_id, i)[1:CASE WHEN cluster_id = 3 THEN 40 WHEN cluster_id = 5 THEN 1 ELSE 5000 END] AS t FROM (SELECT {CLUSTER_SQL} AS cluster_id, doc_id, i, {W}[i] AS w FROM (SELECT source, doc_id, text, unnest(range(1, least(len({W}), 100) + 1)) AS i FROM documents)) GROUP BY cluster_id)
-"""
+BIN_SQL = f"WITH b AS (SELECT {CLUSTER_SQL} AS cluster_id, flatten(list({W} ORDER BY doc_id)) AS t FROM documents GROUP BY 1)"
 
 
 def _bin_docs(spark, sf):
@@ -159,8 +157,8 @@ def _bin_docs(spark, sf):
 
 
 @add(BIN_SQL + """
-, r AS (SELECT cluster_id, c AS cursor, t, len(t) AS n, c * 65 AS at_token FROM b, range(0, 9) q(c))
-SELECT cluster_id, cursor, array_to_string([t[(CASE WHEN n < 65 THEN x ELSE at_token + x END) % n + 1] FOR x IN range(0, 65)], ' ') AS tokens FROM r""")
+, r AS (SELECT cluster_id, t, len(t) AS n, unnest(range(0, (len(t) + 64) // 65)) AS c FROM b WHERE len(t) > 0)
+SELECT cluster_id, c AS cursor, array_to_string([t[(CASE WHEN n < 65 THEN x ELSE c * 65 + x END) % n + 1] FOR x IN range(0, 65)], ' ') AS tokens FROM r""")
 def bin_window_read(spark, sf):
     """Each cluster's whole stream, the last read around the end; a short cluster is tiled from its start."""
     d = _bin_docs(spark, sf)

@@ -144,9 +144,9 @@ def encode_decode(spark, sf):
 
 
 @add(f"""
-WITH v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT unnest({W}) AS word FROM documents))
-SELECT (SELECT count(*) FROM v)::BIGINT AS vocab_size, doc_id, array_to_string(list(v.id ORDER BY i), ',') AS ids
-FROM (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, {W} AS w, unnest(range(1, least(len({W}), 10) + 1)) AS i FROM documents)) JOIN v USING (word) GROUP BY doc_id""")
+WITH t AS (SELECT doc_id, {W} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM t),
+v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM u)), m AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM u JOIN v USING (word) GROUP BY doc_id)
+SELECT (SELECT count(*) FROM v)::BIGINT AS vocab_size, doc_id, coalesce(ids, '') AS ids FROM t LEFT JOIN m USING (doc_id)""")
 def vocab_ids(spark, sf):
     """a vocabulary in order of words, and the ids of each document's words; a text without words has none."""
     d = table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
@@ -191,14 +191,11 @@ def legacy_placeholder_expand(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.legacy_placeholders(t, F.array(F.lit(2), F.lit(2)), "<image>", "<v>", "<i>", "</v>", "</s>").alias("expanded"))
 
 
-HEAD = f"{W}[1:12]"
-
-
 @add(f"""
-WITH t AS (SELECT doc_id, len({W}) AS n, {HEAD} AS h FROM documents)
+WITH t AS (SELECT doc_id, {W} AS h FROM documents)
 SELECT doc_id, array_to_string([CASE WHEN x IN ('the', 'of', 'la', 'der') THEN '-100' ELSE x END FOR x IN h], ' ') AS masked,
   array_to_string([CASE WHEN i < least(greatest(doc_id % 5 - 1, 0), len(h)) THEN '-100' ELSE h[i + 1] END FOR i IN range(0, len(h))], ' ') AS prompt_masked,
-  array_to_string(list_concat(h, [ '<pad>' FOR i IN range(0, 16 - len(h))])[1:16], ' ') AS padded,
+  array_to_string(list_concat(h, ['<pad>' FOR i IN range(0, 16)])[1:16], ' ') AS padded,
   array_to_string(list_concat(h, ['<pad>', '<pad>', '<pad>', '<pad>'])[1:4], ' ') AS clipped, len([x FOR x IN h IF x IN ('the', 'of', 'la', 'der')])::BIGINT AS n_special FROM t""")
 def special_mask(spark, sf):
     """J11, Y2-Y4, F20, P23."""
@@ -212,10 +209,8 @@ def special_mask(spark, sf):
 
 
 @add(f"""
-WITH t AS (SELECT doc_id, doc_id // 4 AS batch, doc_id % 4 AS r, {HEAD} AS h FROM documents WHERE doc_id % 4 < 3),
-f AS (SELECT batch, r, list_concat(h, ['</s>' FOR i IN range(0, greatest(9 - len(h), 0))])[1:9] AS i, list_concat(h, ['-100' FOR i IN range(0, greatest(9 - len(h), 0))])[1:9] AS l FROM t
-UNION ALL SELECT batch, unnest(range(m + 1, 4)), ['</s>' FOR i IN range(0, 9)], ['-100' FOR i IN range(0, 9)] FROM (SELECT batch, max(r) AS m FROM t GROUP BY batch))
-SELECT batch::BIGINT AS batch, r::BIGINT AS row, array_to_string(i[1:8], ' ') AS inputs, array_to_string(l[2:9], ' ') AS labels FROM f""")
+WITH t AS (SELECT doc_id // 3 AS batch, doc_id % 3 AS r, {W} AS h FROM documents), g AS (SELECT DISTINCT batch, q.r AS r FROM t, range(0, 4) q(r)), f AS (SELECT batch, r, coalesce(h, []) AS h FROM g LEFT JOIN t USING (batch, r))
+SELECT batch, r AS row, array_to_string(list_concat(h, ['</s>' FOR i IN range(0, 9)])[1:8], ' ') AS inputs, array_to_string(list_concat(h, ['-100' FOR i IN range(0, 9)])[2:9], ' ') AS labels FROM f""")
 def pad_batch(spark, sf):
     """Batches of three documents are filled up to four rows of eight."""
     d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("batch"), (F.col("doc_id") % 3).alias("r"), T.words(F.col("text")).alias("h"))
@@ -240,7 +235,7 @@ def padding_target(spark, sf):
 
 def _greedy_sql(length: int, shards: int) -> str:
     return f"""
-WITH RECURSIVE s AS (SELECT doc_id % {shards} AS shard, doc_id AS key, least(len({W}), 400) AS n, row_number() OVER (PARTITION BY doc_id % {shards} ORDER BY doc_id) AS rn FROM documents WHERE len({W}) > 0 AND least(len({W}), 400) <= {length}),
+WITH RECURSIVE s AS (SELECT doc_id % {shards} AS shard, doc_id AS key, len({W}) AS n, row_number() OVER (PARTITION BY doc_id % {shards} ORDER BY doc_id) AS rn FROM documents WHERE len({W}) BETWEEN 1 AND {length}),
 f AS (
   SELECT shard, rn, key, n, 0 AS bin, n AS used FROM s WHERE rn = 1
   UNION ALL

@@ -91,7 +91,7 @@ def parameter_names(spark, sf):
     return spark.range(64).select("id", pattern.alias("pattern"), F.array_join(numbers, ",").alias("numbers"), T.restored(F.lit("model.blocks.{}.ffn.{}"), numbers).alias("mapped"))
 
 
-@add("SELECT doc_id, doc_id % 3 = 0 AS kept, ',' || source AS texts, 'img' || ',' AS images FROM documents WHERE doc_id % 2 = 0")
+@add("SELECT doc_id, doc_id % 3 = 0 AS kept, ',' || source AS texts, 'img' || ',' AS images FROM documents")
 def interleaved_pairs(spark, sf):
     """Pairs in interleaved form; a sample whose picture failed is not kept."""
     texts, images = filters.interleaved(F.col("source"), F.lit("img"))
@@ -108,7 +108,7 @@ def caption_first(spark, sf):
     return d.select(readers.caption(d).alias("caption"), "doc_id")
 
 
-@add("""WITH p AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE vec_id < 1000),
+@add("""WITH p AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
 k AS (SELECT vec_id, v, q.p AS patch, r.i AS i FROM p, range(0, 4) q(p), range(0, 16) r(i))
 SELECT vec_id, patch, round(sum(v[((patch // 2) * 4 + (i // 4)) * 8 + (patch % 2) * 4 + i % 4 + 1] * (i + 1)), 4) AS checksum FROM k GROUP BY vec_id, patch""")
 def patchify_blocks(spark, sf):
@@ -186,7 +186,7 @@ def generation_report(spark, sf):
     return r.select(F.size("r.responses").cast("bigint").alias("n"), n.alias("n_chars"), (n * F.col("r.metadata.tokens_per_sec")).cast("bigint").alias("rate"))
 
 
-@add("SELECT request_id, doc_id FROM (SELECT doc_id::VARCHAR AS request_id, doc_id FROM documents ORDER BY doc_id LIMIT 20)")
+@add("SELECT doc_id::VARCHAR AS request_id, doc_id FROM documents")
 def order_by_request(spark, sf):
     """Requests by number, not by text."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("request_id"), "doc_id")

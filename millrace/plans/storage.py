@@ -115,8 +115,8 @@ def dual_encoders(spark, sf):
     return d.select("doc_id", F.array_join("d.clip", " ").alias("first"), F.array_join("d.t5", " ").alias("second"))
 
 
-@add(f"""WITH s AS (SELECT doc_id, '<v>' || repeat('<i>', (doc_id % 3 + 1)::INT) || '</v>' || coalesce(array_to_string({W}[1:6], ' '), '') || '</s>' AS t, doc_id % 3 + 3 AS n_special FROM documents WHERE len({W}) >= 6)
-SELECT doc_id, t AS sample, n_special + 7 AS n_tokens, n_special + 1 AS n_masked FROM s""")
+@add(f"""WITH t AS (SELECT doc_id, {W} AS w, doc_id % 3 + 3 AS n FROM documents)
+SELECT doc_id, '<v>' || repeat('<i>', (doc_id % 3 + 1)::INT) || '</v>' || coalesce(array_to_string(w, ' '), '') || '</s>' AS sample, n + len(w) + 1 AS n_tokens, n + 1 AS n_masked FROM t""")
 def multimodal_samples(spark, sf):
     """A picture's placeholder and a text as one sample, split to pieces, with marks masked in the labels."""
     texts, _ = filters.interleaved(F.array_join(T.words(F.col("text")), " "), F.lit("img"))

@@ -195,9 +195,8 @@ def logprob_parity(spark, sf):
 
 
 @add(f"""
-WITH s AS (SELECT conv_id % 3 AS shard, conv_id, turn, {W}[1:6] AS p, {W}[7:10] AS r FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)),
-o AS (SELECT shard, list(p ORDER BY conv_id) AS p, list(r ORDER BY conv_id) AS r FROM s GROUP BY shard)
-SELECT shard, md5(array_to_string(flatten([list_concat(p[i], r[i]) FOR i IN range(1, len(p) + 1)]), ' ')) AS tokens_md5, array_to_string([len(x) FOR x IN p], ',') AS prompt_lengths, array_to_string([len(x) FOR x IN r], ',') AS response_lengths FROM o""")
+WITH s AS (SELECT turn, conv_id % 3 AS shard, conv_id, {W} AS w FROM conversations)
+SELECT turn, shard, md5(array_to_string(flatten(list(w ORDER BY conv_id)), ' ')) AS tokens_md5, string_agg(least(len(w), 6)::VARCHAR, ',' ORDER BY conv_id) AS prompt_lengths, string_agg(greatest(len(w) - 6, 0)::VARCHAR, ',' ORDER BY conv_id) AS response_lengths FROM s GROUP BY ALL""")
 def episode_collation(spark, sf):
     """Each turn is a step; a row's first six words are the prompt, and all others the response."""
     d = table(spark, sf, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w"))
@@ -318,82 +317,94 @@ def gathered_logprob(spark, sf):
 
 # --- masks
 
-CELL_SQL = f"""w AS (SELECT doc_id, unnest(range(0, 24)) AS pos, unnest(list_concat({W}, ['x' FOR i IN range(0, greatest(24 - len({W}), 0))])[1:24]) AS tok FROM documents),
-e AS (SELECT *, CASE WHEN tok LIKE '%.' THEN 1 ELSE 0 END AS eos FROM w),
-d AS (SELECT *, coalesce(sum(CASE WHEN eos = 1 OR pos = 23 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_no FROM e)"""
-
-
 WINDOW = 24
 
+#: Every token of every window of 24 of each text; row is the window's number in the order of documents.
+CELL_SQL = f"""t AS (SELECT doc_id, {W} AS t FROM documents),
+v AS (SELECT doc_id, t, unnest(range(0, greatest((len(t) + 23) // 24, 1))) AS win FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id, win) - 1 AS row FROM v),
+w AS (SELECT doc_id, win, row, pos, coalesce(t[win * 24 + pos + 1], 'x') AS tok FROM r, range(0, 24) q(pos)),
+e AS (SELECT *, CASE WHEN tok LIKE '%.' THEN 1 ELSE 0 END AS eos FROM w),
+d AS (SELECT *, coalesce(sum(eos) OVER (PARTITION BY doc_id, win ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_no FROM e)"""
+PAIR_SQL = "FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.win = b.win AND a.pos >= b.pos"
+IN_ORDER = "(PARTITION BY doc_id, win ORDER BY pos)"
+
 
 def _token_windows(spark, sf):
-    """Each whole text in consecutive windows: key (doc_id, window) and t, its WINDOW tokens, of which the last window's are filled up; an empty text
-    is one window of filler."""
+    """(doc_id, window, t): each whole text in consecutive windows of WINDOW tokens, of which the last is filled up; an empty text is one window of
+    filler."""
     d = table(spark, sf, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
     starts = A.upto(F.greatest(F.ceil(F.size("w") / WINDOW), F.lit(1)))
     cut = F.transform(starts, lambda i: A.fitted(F.slice("w", i * WINDOW + 1, F.lit(WINDOW)), WINDOW, F.lit("x")))
     d = d.select("doc_id", F.posexplode(cut).alias("window", "t"))
-    return d.select(F.struct("doc_id", F.col("window").cast("bigint").alias("window")).alias("key"), "t")
+    return d.select("doc_id", F.col("window").cast("bigint").alias("window"), "t")
+
 
+def _ends(token):
+    return token.endswith(".")
 
-def _cells(spark, sf):
-    return masks.document_index(masks.exploded(_token_windows(spark, sf), "key", "t"), "key", F.col("token").endswith("."), WINDOW)
 
+def _numbers():
+    return masks.document_numbers(F.col("t"), _ends)
 
-@add(f"WITH {CELL_SQL} SELECT doc_id, pos, doc_no FROM d")
+
+def _seen(spark, sf, first):
+    """(doc_id, window, q, low): a row per query position, with the first position that it sees."""
+    return _token_windows(spark, sf).select("doc_id", "window", F.posexplode(first).alias("q", "low")).select("doc_id", "window", F.col("q").cast("bigint").alias("q"), F.col("low").cast("bigint").alias("low"))
+
+
+@add(f"WITH {CELL_SQL} SELECT doc_id, win AS window, pos, doc_no FROM d")
 def doc_index(spark, sf):
     """Sentences stand for documents."""
-    return _cells(spark, sf).select("key.*", F.col("pos").cast("bigint").alias("pos"), "doc_no")
+    d = _token_windows(spark, sf).select("doc_id", "window", F.posexplode(_numbers()).alias("pos", "doc_no"))
+    return d.select("doc_id", "window", F.col("pos").cast("bigint").alias("pos"), "doc_no")
 
 
-@add(f"WITH {CELL_SQL}, o AS (SELECT doc_id, 0 AS s FROM d UNION SELECT doc_id, pos + 1 FROM d WHERE eos = 1 AND pos < 23) SELECT doc_id, string_agg((doc_id * 24 + s)::VARCHAR, ',' ORDER BY s) AS offsets FROM o GROUP BY doc_id")
+@add(f"WITH {CELL_SQL}, o AS (SELECT doc_id, win, row, 0 AS s FROM d WHERE pos = 0 UNION SELECT doc_id, win, row, pos + 1 FROM d WHERE eos = 1 AND pos < 23) SELECT doc_id, win AS window, string_agg((row * 24 + s)::VARCHAR, ',' ORDER BY s) AS offsets FROM o GROUP BY ALL")
 def cu_seqlens(spark, sf):
     """The rows of the flat batch are all windows in the order of documents."""
     n = table(spark, sf, "documents").select("doc_id", F.greatest(F.ceil(T.token_count(F.col("text")) / WINDOW), F.lit(1)).alias("n"))
     first = ordering.prefix_sum(n, "doc_id", F.col("n"), "first").select("doc_id", "first")
-    d = _token_windows(spark, sf).select("key.*", "t").join(first, "doc_id")
-    o = masks.offsets(F.col("t"), lambda x: x.endswith("."), F.col("first") + F.col("window"), WINDOW)
+    d = _token_windows(spark, sf).join(first, "doc_id")
+    o = masks.offsets(F.col("t"), _ends, F.col("first") + F.col("window"), WINDOW)
     return d.select("doc_id", "window", F.array_join(F.transform(o, lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-@add(f"WITH {CELL_SQL} SELECT a.doc_id, count(*)::BIGINT AS pairs FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos GROUP BY a.doc_id")
+@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.win AS window, count(*)::BIGINT AS pairs {PAIR_SQL} GROUP BY ALL")
 def causal_mask_count(spark, sf):
     """J8."""
-    return masks.causal_pairs(_cells(spark, sf), "key").groupBy("key").agg(F.count(F.lit(1)).alias("pairs")).select("key.*", "pairs")
+    seen = F.transform(masks.first_seen(F.size("t")), lambda low, q: (q - low + 1).cast("bigint"))
+    return _token_windows(spark, sf).select("doc_id", "window", F.aggregate(seen, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("pairs"))
 
 
-@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, min(b.pos) AS first_kv, count(*)::BIGINT AS n FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.pos - b.pos < 5 GROUP BY a.doc_id, a.pos")
+@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.win AS window, a.pos AS q, min(b.pos) AS first_kv, count(*)::BIGINT AS n {PAIR_SQL} AND a.pos - b.pos < 5 GROUP BY ALL")
 def sliding_window_pairs(spark, sf):
     """J9."""
-    p = masks.causal_pairs(_cells(spark, sf), "key", width=5)
-    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.min("kv").cast("bigint").alias("first_kv"), F.count(F.lit(1)).alias("n")).select("key.*", "q", "first_kv", "n")
+    d = _seen(spark, sf, masks.first_seen(F.size("t"), width=5))
+    return d.select("doc_id", "window", "q", F.col("low").alias("first_kv"), (F.col("q") - F.col("low") + 1).alias("n"))
 
 
-@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, count(*)::BIGINT AS n, sum(b.pos)::BIGINT AS kv_sum FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.doc_no = b.doc_no GROUP BY a.doc_id, a.pos")
+@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.win AS window, a.pos AS q, count(*)::BIGINT AS n, sum(b.pos)::BIGINT AS kv_sum {PAIR_SQL} AND a.doc_no = b.doc_no GROUP BY ALL")
 def document_mask_pairs(spark, sf):
-    """Causal and within a document."""
-    p = masks.causal_pairs(_cells(spark, sf), "key", F.col("doc_no"))
-    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum("kv").cast("bigint").alias("kv_sum")).select("key.*", "q", "n", "kv_sum")
+    """Causal and within a document. What a query sees is a range, so its number and sum follow from the ends."""
+    d = _seen(spark, sf, masks.first_seen(F.size("t"), _numbers()))
+    n = F.col("q") - F.col("low") + 1
+    return d.select("doc_id", "window", "q", n.alias("n"), F.shiftright((F.col("q") + F.col("low")) * n, 1).alias("kv_sum"))
 
 
-@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.pos AS q, count(*)::BIGINT AS n FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos >= b.pos AND a.pos // 7 = b.pos // 7 GROUP BY a.doc_id, a.pos")
+@add(f"WITH {CELL_SQL} SELECT a.doc_id, a.win AS window, a.pos AS q, count(*)::BIGINT AS n {PAIR_SQL} AND a.pos // 7 = b.pos // 7 GROUP BY ALL")
 def fixed_block_pairs(spark, sf):
     """Causal and within blocks of seven."""
-    p = masks.causal_pairs(_cells(spark, sf), "key", F.floor(F.col("pos") / 7))
-    return p.groupBy("key", F.col("q").cast("bigint").alias("q")).agg(F.count(F.lit(1)).alias("n")).select("key.*", "q", "n")
+    blocks = F.transform("t", lambda _, i: F.floor(i / 7))
+    return _seen(spark, sf, masks.first_seen(F.size("t"), blocks)).select("doc_id", "window", "q", (F.col("q") - F.col("low") + 1).alias("n"))
 
 
-@add(f"WITH {CELL_SQL}, p AS (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, doc_no) AS rel, eos = 1 AS m FROM d), l AS (SELECT *, rel < lag(rel) OVER (PARTITION BY doc_id ORDER BY pos) AS fresh, m AND NOT coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts, eos IS DISTINCT FROM lag(eos) OVER (PARTITION BY doc_id ORDER BY pos) AS kept FROM p) SELECT doc_id, count_if(fresh)::BIGINT AS n_resets, count_if(starts)::BIGINT AS n_runs, count_if(kept)::BIGINT AS n_collapsed FROM l GROUP BY doc_id")
+@add(f"WITH {CELL_SQL}, p AS (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, win, doc_no) AS rel, eos = 1 AS m FROM d), l AS (SELECT *, rel < lag(rel) OVER {IN_ORDER} AS fresh, m AND NOT coalesce(lag(m) OVER {IN_ORDER}, false) AS starts, eos IS DISTINCT FROM lag(eos) OVER {IN_ORDER} AS kept FROM p) SELECT doc_id, win AS window, count_if(fresh)::BIGINT AS n_resets, count_if(starts)::BIGINT AS n_runs, count_if(kept)::BIGINT AS n_collapsed FROM l GROUP BY ALL")
 def reset_and_run_detection(spark, sf):
     """Positions that restart, runs that begin, repeats collapsed."""
-    from pyspark.sql import Window
-
-    c = _cells(spark, sf).withColumn("m", F.col("token").endswith("."))
-    c = c.withColumn("rel", F.col("pos") - F.min("pos").over(Window.partitionBy("key", "doc_no"))).drop("doc_no")
-    r = masks.resets(c, "key", "rel").groupBy("key").agg(F.max("doc_no").alias("n_resets"))
-    s = masks.run_starts(c, "key", F.col("m")).groupBy("key").agg(F.count_if("starts").alias("n_runs"))
-    k = masks.collapsed(c, "key", "m").groupBy("key").agg(F.count(F.lit(1)).alias("n_collapsed"))
-    return r.join(s, "key").join(k, "key").select("key.*", "n_resets", "n_runs", "n_collapsed")
+    d = _token_windows(spark, sf).select("doc_id", "window", masks.relative(_numbers()).alias("rel"), F.transform("t", _ends).alias("m"))
+    n = {"n_resets": masks.resets(F.col("rel")), "n_runs": masks.run_starts(F.col("m")), "n_collapsed": F.size(masks.collapsed(F.col("m")))}
+    return d.select("doc_id", "window", *[c.cast("bigint").alias(k) for k, c in n.items()])
 
 
 # --- metrics

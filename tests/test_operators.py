@@ -302,22 +302,43 @@ def test_routing_ties_go_to_the_least_expert(spark):
         routing.group_limited(F.array(), 8, 8, 1)
 
 
-def test_sliding_window_needs_a_position(spark):
+def test_sliding_window_needs_a_position():
     with pytest.raises(ValueError, match="one position"):
-        masks.causal_pairs(spark.range(1).withColumnRenamed("id", "k"), "k", width=0)
+        masks.first_seen(F.lit(3), width=0)
 
 
 def test_document_masks(spark):
-    rows = [(0, ["a", "E", "b", "E"]), (1, ["E", "E", "c", "d"]), (2, ["a", "b", "c", "d"])]
-    cells = masks.exploded(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t")
-    got: dict = {}
-    for r in sorted(masks.document_index(cells, "k", F.col("token") == "E", 4).collect()):
-        got.setdefault(r["k"], []).append(r["doc_no"])
-    assert got == {0: [0, 0, 1, 1], 1: [0, 1, 2, 2], 2: [0, 0, 0, 0]}
-    o = [r[0] for r in spark.createDataFrame(rows, "k long, t array<string>").orderBy("k").select(masks.offsets(F.col("t"), lambda x: x == "E", F.col("k"), 4)).collect()]
+    rows = [(0, ["a", "E", "b", "E"]), (1, ["E", "E", "c", "d"]), (2, ["a", "b", "c", "d"]), (3, ["E"]), (4, [])]
+    df = spark.createDataFrame(rows, "k long, t array<string>").orderBy("k")
+    is_end = lambda x: x == "E"
+    assert [r[0] for r in df.select(masks.document_numbers(F.col("t"), is_end)).collect()] == [[0, 0, 1, 1], [0, 1, 2, 2], [0, 0, 0, 0], [0], []]
+    o = [r[0] for r in df.where("k < 3").select(masks.offsets(F.col("t"), is_end, F.col("k"), 4)).collect()]
     assert o == [[0, 2], [4, 5, 6], [8]]
 
 
+def test_masks_match_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [(k, [rng.choice("ab.E") for _ in range(n)]) for k, n in enumerate([1, 2, 24, 300])]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    numbers = masks.document_numbers(F.col("t"), lambda x: x == "E")
+    n = F.size("t")
+    cases = {
+        "causal": (masks.first_seen(n), lambda d, q, v: True),
+        "document": (masks.first_seen(n, numbers), lambda d, q, v: d[q] == d[v]),
+        "sliding": (masks.first_seen(n, width=5), lambda d, q, v: q - v < 5),
+        "blocks": (masks.first_seen(n, F.transform("t", lambda _, i: F.floor(i / 7)), width=4), lambda d, q, v: q // 7 == v // 7 and q - v < 4),
+    }
+    docs = {k: [t[:i].count("E") for i in range(len(t))] for k, t in rows}
+    for name, (first, sees) in cases.items():
+        got = {tuple(r) for r in masks.causal_pairs(df, first, "k").collect()}
+        assert got == {(k, q, v) for k, t in rows for q in range(len(t)) for v in range(q + 1) if sees(docs[k], q, v)}, name
+    for r in df.select("k", masks.relative(numbers).alias("rel"), masks.run_starts(F.transform("t", lambda x: x == "E")).alias("s"), masks.collapsed(F.col("t")).alias("c")).collect():
+        d, t = docs[r["k"]], rows[r["k"]][1]
+        assert r["rel"] == [i - d.index(d[i]) for i in range(len(t))]
+        assert r["s"] == sum(t[i] == "E" and (i == 0 or t[i - 1] != "E") for i in range(len(t)))
+        assert r["c"] == [x for i, x in enumerate(t) if i == 0 or t[i - 1] != x]
+
+
 @pytest.mark.parametrize("t, h, w, c, ps, ts, m", [(1, 4, 4, 1, 2, 1, 1), (3, 8, 8, 3, 2, 2, 2), (2, 4, 8, 2, 2, 2, 2)])
 def test_patches_match_numpy(spark, t, h, w, c, ps, ts, m):
     img = np.arange(t * h * w * c).reshape(t, h, w, c)

@@ -5,7 +5,6 @@ import pytest
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from millrace.llm import source_mixing
 from millrace.operators import packing
 from millrace.plans.book import WORDS_SQL as W
 
@@ -123,29 +122,3 @@ def test_whole_rows(spark, name):
 def test_requests_are_in_the_order_of_numbers(spark):
     ids = [r["doc_id"] for r in entry.queries()["order_by_request"](spark, SF).collect()]
     assert ids == sorted(ids) and len(ids) == spark.read.parquet(f"{SF}/documents.parquet").count()
-
-
-def mixed_of(spark, thin):
-    """Documents of sf0.01 and their mix; of languages but English, one document in `thin` stays."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where((F.col("lang") == "en") | (F.col("doc_id") % thin == 0))
-    return docs, source_mixing.mixed(docs, docs.select("text", F.col("lang").alias("domain")).where("doc_id % 2 = 0"))
-
-
-def test_mix_leaves_no_thin_domain_out(spark):
-    """At one in 25, German has nine words, and the fit leaves some texts at a rate of 0; they stay as rows."""
-    for thin, zeros in ((10, False), (25, True)):
-        docs, out = mixed_of(spark, thin)
-        rows = out.collect()
-        assert len(rows) == docs.count()
-        assert all((r["rate"] >= 1 and r["copies"] >= 1) or (zeros and r["rate"] == r["copies"] == 0) for r in rows if r["n_tokens"] > 0)
-
-
-def test_mix_gives_unlisted_domains_their_share(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.when(F.col("lang") == "es", "it").otherwise(F.col("lang")))
-    rows = source_mixing.mixed(docs, docs.select("text", F.col("lang").alias("domain"))).collect()
-    assert len(rows) == docs.count()
-    assert min(r["copies"] for r in rows if r["n_tokens"] > 0) >= 1
-    n = {d: sum(r["n_tokens"] for r in rows if r["domain"] == d) for d in ("it", "en", "fr", "de")}
-    t = {d: sum(r["rate"] * r["n_tokens"] for r in rows if r["domain"] == d) for d in n}
-    assert t["it"] / sum(t.values()) == pytest.approx(n["it"] / sum(n.values()), abs=0.03)
-    assert t["en"] / t["fr"] == pytest.approx(0.55 / 0.17, rel=0.15)
