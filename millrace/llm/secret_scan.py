@@ -1,17 +1,24 @@
 """Secret scans with DataFrame functions only: known formats, and sliding-window Shannon entropy over candidate strings.
 
 Candidates are runs of a character class (hexadecimal; base64 with its URL-safe form). Per class, a window slides over the candidate; the
-counts of the characters in it, and the sum of c * log2(c) over these, are kept up by adding the character that enters and taking off the one
-that leaves, so a window costs no rescan. Its entropy is log2(w) - sum / w. A candidate whose best window reaches the class's threshold is a
-span, unless the allow-list suppresses it or a known format has found it. All happens within a row: no shuffle, no join, no Python.
+counts of the characters in it are packed into eight numbers, and the sum of c * log2(c) over these is kept up by adding the character that
+enters and taking off the one that leaves, so a window costs no rescan. The sum is in whole numbers (SCALE to one bit), so it does not drift. A
+window's entropy is log2(w) - sum / w. A candidate whose best window reaches the class's threshold is a span. All happens within a row: no
+shuffle, no join, no Python.
+
+What a known format has found, and parts that say that they are an example (MARKS), are blanked before candidates are cut, so they suppress
+themselves and not the run around them. Of what is left, candidates of the forms in ALLOW are no secrets. One random base64 key of 24 characters in
+25 is missed, having less entropy than the threshold or no digit; of longer ones, of which some window will do, fewer than one in 200.
 
 Cases: a null text counts as empty (no spans). Rows are judged one by one, so repeated rows each get their result and a null doc_id is returned
 as null. An empty table gives an empty result. Extra columns are ignored by scan() and kept by redact(). Positions are code points from 0, ends
-exclusive. A text is read whole, however long.
+exclusive. A text is read whole, however long: the cost grows with its length, whatever the number of matches and the length of candidates.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,98 +29,163 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX_LONG = r"[0-9a-f]{24,}"
-#: Character classes of candidates: pattern, alphabet (characters are counted as in the alphabet), window, least bits of entropy. Six random
-#: base64 characters in seven must differ; a hexadecimal window of 32 has 3.3 bits or more unless it is made up.
+#: Character classes of candidates: pattern, window, least bits of entropy. Six random base64 characters in seven must differ; a hexadecimal
+#: window of 32 has 3.3 bits or more unless it is made up.
 CLASSES = {
-    "entropy_hex": (r"[0-9A-Fa-f]{32,}", "0123456789abcdefABCDEF", 32, 3.2),
-    "entropy_base64": (r"[A-Za-z0-9+/_=-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
+    "entropy_hex": (r"[0-9A-Fa-f]{32,}", 32, 3.2),
+    "entropy_base64": (r"[A-Za-z0-9+/_-]{24,}", 24, 4.0),
 }
-#: Candidates that are no secrets: without a digit (words, joined words, rules of dashes), words with a number at the end, UUIDs, the digits
-#: or the alphabet in order, and what says that it is an example.
+#: Candidates that are no secrets: without a digit (words, joined words, rules of dashes), words with a number at the end, UUIDs. Repetition is
+#: possessive, since a group that may give back its matches recurses once for each of them.
 ALLOW = (
-    r"^[A-Za-z=+/_-]+$",
-    r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghijkl|0123456789abcdef|1234567890123",
-    r"(?i)example|sample|placeholder|dummy|xxxx",
+    r"^[A-Za-z+/_-]+$",
+    r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[-_/]?[0-9]{1,4}$",
+    r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
 )
-SPANS = "array<struct<start:int,rank:int,end:int>>"
+#: What a part (a run of letters and digits) holds that is an example or the alphabet or digits in order.
+MARKS = r"(?i:abcdefghijkl|0123456789abcdef|1234567890123|example|sample|placeholder|dummy|xxxx)"
+MARKED = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*?{MARKS}[A-Za-z0-9]*+"
+#: Spans by code points (start, end) and by bytes (low, high).
+SPANS = "array<struct<start:int,rank:int,end:int,low:int,high:int>>"
+#: Matches whose positions are summed one by one; sums of more go block by block.
+BLOCK = 256
+#: Units in one bit, and the first of the characters that are counted; ten counts of six bits go into one number.
+SCALE, FIRST, PACKED, BITS = 1 << 32, ord("+"), 10, 6
 
 
 def _none() -> Column:
     return F.array().cast(SPANS)
 
 
-def _spans(text: Column, pattern: str, kind: str, may: Column, keep) -> Column:
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it for many elements."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _before(points: Column, plus) -> Column:
+    """Of each element of an array of (c, b), what `plus` makes of all before it. Blocks are folded first, then their results, then within blocks, so
+    that no fold appends to a long array."""
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"))
+
+    def folded(values: Column, begin: Column) -> Column:
+        state = F.struct(begin.alias("at"), F.array().cast("array<struct<c:int,b:int>>").alias("out"))
+        return F.aggregate(values, state, lambda a, x: F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def whole(p: Column) -> Column:
+        count = F.floor((F.size(p) + BLOCK - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(p, k * BLOCK + 1, BLOCK))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, folded(F.transform(b, lambda x: F.aggregate(x, zero, plus)), zero), lambda x, at: folded(x, at))))
+
+    return let(points, lambda p: F.when(F.size(p) > 0, whole(p)).otherwise(F.array().cast("array<struct<c:int,b:int>>")))
+
+
+def _plus(a: Column, x: Column) -> Column:
+    return F.struct((a["c"] + x["c"]).alias("c"), (a["b"] + x["b"]).alias("b"))
+
+
+def _furthest(a: Column, x: Column) -> Column:
+    return F.struct(F.greatest(a["c"], x["c"]).alias("c"), F.greatest(a["b"], x["b"]).alias("b"))
+
+
+def _spans(text: Column, pattern: str, rank: int, may: Column, keep) -> Column:
     """Spans of pattern's leftmost non-overlapping matches. may: false only where there is no match; keep: of a match, whether it counts.
     split() gives the pieces between the matches, whose lengths add up to the positions."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def matched(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        return let(pairs, placed)
+
+    def placed(pairs: Column) -> Column:
+        length = lambda of: lambda x: (of(x["gap"]) + of(x["m"]))
+        before = _before(F.transform(pairs, lambda x: F.struct(length(F.length)(x).alias("c"), length(F.octet_length)(x).alias("b"))), _plus)
+
+        def span(x: Column, at: Column) -> Column:
+            start, low = at["c"] + F.length(x["gap"]), at["b"] + F.octet_length(x["gap"])
+            return F.when(keep(x["m"]), F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["m"])).alias("end"), low.alias("low"), (low + F.octet_length(x["m"])).alias("high")))
+
+        return F.filter(F.zip_with(pairs, before, span), lambda x: x.isNotNull())
+
+    return F.when(may & text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matched)).otherwise(_none())
+
+
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """text with mark(span, end of those before it) in place of its spans, which may overlap. Cut by bytes, whose positions need no search."""
 
-    return F.when(may & text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(_none())
+    def cut(x: Column, s: Column) -> Column:
+        before = _before(F.transform(s, lambda v: F.struct(v["end"].alias("c"), v["high"].alias("b"))), _furthest)
+        gap = lambda low, high: F.when(high > low, F.substring(x, low + 1, high - low).cast("string")).otherwise("")
+        pieces = F.zip_with(s, before, lambda v, at: F.concat(gap(at["b"], v["low"]), mark(v, at)))
+        rest = gap(F.array_max(F.transform(s, lambda v: v["high"])), F.octet_length(x))
+        return F.concat(F.array_join(pieces, ""), rest)
 
+    return F.when(F.size(spans) > 0, let(text.cast("binary"), lambda x: let(F.array_sort(spans), lambda s: cut(x, s)))).otherwise(text)
 
-def best_entropy(s: Column, alphabet: str, window: int) -> Column:
-    """The largest Shannon entropy, in bits, of a window of so many characters over s; 0 for a shorter s. Per step, only the counts of the
-    character that enters and of the one that leaves change, and the sum of c * log2(c) with them."""
-    def plog(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(alphabet), F.substring(s, i, F.lit(1)))
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with one blank for each code point of its spans."""
+    return _replaced(text, spans, lambda v, at: F.repeat(F.lit(" "), F.greatest(v["end"] - F.greatest(v["start"], at["c"]), F.lit(0))))
 
-    def change(acc: Column, at: Column, by: int) -> Column:
-        c = F.element_at(acc["n"], at)
-        return F.struct(
-            F.transform(acc["n"], lambda x, j: F.when(j + 1 == at, x + by).otherwise(x)).alias("n"),
-            (acc["sum"] + plog(c + by) - plog(c)).alias("sum"),
-            acc["best"].alias("best"),
-        )
 
-    def step(acc: Column, i: Column) -> Column:
-        # One step per character that enters, then one for that which leaves, as folds over one or no place.
-        left = F.when(i > window, F.array(place(i - window))).otherwise(F.array().cast("array<int>"))
-        less = F.aggregate(left, acc, lambda a, at: change(a, at, -1))
-        more = F.aggregate(F.array(place(i)), less, lambda a, at: change(a, at, 1))
-        return F.aggregate(F.array(more), acc, lambda _, a: F.struct(a["n"].alias("n"), a["sum"].alias("sum"), F.when(i >= window, F.greatest(a["best"], F.log2(F.lit(float(window))) - a["sum"] / window)).otherwise(a["best"]).alias("best")))
+def best_entropy(s: Column, window: int) -> Column:
+    """The largest Shannon entropy, in bits, of a window of so many characters over s, which are ASCII from + on; 0 for a shorter s. Per step, only
+    the counts of the character that enters and of the one that leaves change, and the sum of c * log2(c) with them."""
+    if not 1 < window < 1 << BITS:
+        raise ValueError("a window's counts must fit their bits")
+    # What the sum grows by as a count goes up by one.
+    f = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(window + 1)]
+    grow = F.array(*[F.lit(b - a).cast("bigint") for a, b in zip(f, f[1:], strict=False)])
 
-    state = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), state, step, lambda acc: acc["best"])
+    def place(c: Column) -> Column:
+        code = F.ascii(c) - FIRST
+        shift = code % PACKED * BITS
+        return F.struct(F.floor(code / PACKED).cast("int").alias("at"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift).alias("one"))
+
+    def count(n: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.element_at(n, x["at"] + 1), x["shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        new, old = x["new"], x["old"]
+        more = F.element_at(grow, count(acc["n"], new) - F.when((new["at"] == old["at"]) & (new["shift"] == old["shift"]), 1).otherwise(0) + 1)
+        less = F.when(old.isNotNull(), F.element_at(grow, count(acc["n"], old))).otherwise(F.lit(0).cast("bigint"))
+        n = F.transform(acc["n"], lambda v, j: v + F.when(j == new["at"], new["one"]).otherwise(F.lit(0).cast("bigint")) - F.when(j == old["at"], old["one"]).otherwise(F.lit(0).cast("bigint")))
+        # The sum of the step before counts, once its window is full.
+        return F.struct(n.alias("n"), (acc["sum"] + more - less).alias("sum"), (acc["i"] + 1).alias("i"), F.when(acc["i"] >= window, F.least(acc["least"], acc["sum"])).otherwise(acc["least"]).alias("least"))
+
+    zero = F.lit(0).cast("bigint")
+    words = -(-(ord("z") - FIRST + 1) // PACKED)
+    state = F.struct(F.array(*[zero] * words).alias("n"), zero.alias("sum"), F.lit(0).alias("i"), F.lit(f[window]).cast("bigint").alias("least"))
+    bits = lambda acc: math.log2(window) - F.when(acc["i"] >= window, F.least(acc["least"], acc["sum"])).otherwise(acc["least"]) / float(SCALE * window)
+    entering = F.transform(F.split(s, ""), place)
+    leaving = lambda p: F.concat(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda _: F.lit(None).cast("struct<at:int,shift:int,one:bigint>")), F.slice(p, 1, F.greatest(F.size(p) - window, F.lit(0))))
+    return F.when(F.length(s) >= window, let(entering, lambda p: F.aggregate(F.zip_with(p, leaving(p), lambda new, old: F.struct(new.alias("new"), old.alias("old"))), state, step, bits))).otherwise(F.lit(0.0))
 
 
 def base_spans(text: Column) -> Column:
     low = F.lower(text)
     word = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
-    assign = _spans(text, ASSIGN, "assign", word, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
-    access = _spans(text, ACCESS, "access", text.contains("AKIA"), lambda m: F.length(m) >= 20)
+    assign = _spans(text, ASSIGN, 0, word, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
+    access = _spans(text, ACCESS, 1, text.contains("AKIA"), lambda m: F.length(m) >= 20)
     # Runs of 24 or more are what is left of all runs once the shorter ones are dropped.
-    hexes = _spans(text, HEX_LONG, "hex", F.lit(True), lambda m: F.lit(True))
+    hexes = _spans(text, HEX_LONG, 2, F.lit(True), lambda m: F.lit(True))
     return F.concat(assign, access, hexes)
 
 
 def entropy_spans(text: Column, classes: dict, allow: tuple[str, ...]) -> Column:
     listed = "|".join(f"(?:{p})" for p in allow)
     return F.concat(*[
-        _spans(text, pattern, kind, F.lit(True), lambda m, a=alphabet, w=window, h=least: ~m.rlike(listed) & (best_entropy(m, a, w) >= h))
-        for kind, (pattern, alphabet, window, least) in classes.items()
+        _spans(text, pattern, KINDS.index(kind), F.lit(True), lambda m, w=window, h=least: ~m.rlike(listed) & (best_entropy(m, w) >= h))
+        for kind, (pattern, window, least) in classes.items()
     ])
 
 
 def _found(docs: DataFrame, classes: dict, allow: tuple[str, ...]) -> tuple[DataFrame, str, str]:
-    """docs with the base spans and all spans, in columns whose names docs lacks. Added spans that touch a base span are that secret again."""
+    """docs with the base spans and all spans, in columns whose names docs lacks."""
     base, every = shared.unused(docs, "__base"), shared.unused(docs, "__every")
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn(base, F.array_sort(base_spans(text))).withColumn(every, entropy_spans(text, classes, allow))
-    new = F.filter(every, lambda x: ~F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return out.withColumn(every, F.array_sort(F.concat(base, new))), base, every
+    out = docs.withColumn(base, F.array_sort(base_spans(text)))
+    blanks = F.concat(base, _spans(text, MARKED, 0, F.lit(True), lambda m: F.lit(True)))
+    out = out.withColumn(every, _blanked(text, blanks))
+    return out.withColumn(every, F.array_sort(F.concat(base, entropy_spans(F.col(every), classes, allow)))), base, every
 
 
 def _joined(spans: str) -> Column:
@@ -132,14 +204,8 @@ def scan(docs: DataFrame, classes: dict | None = None, allow: tuple[str, ...] =
 def redact(docs: DataFrame, mark: str = "<SECRET>", classes: dict | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """docs with each span replaced by mark (spans that overlap, by one mark) and n_chars, if there, counted anew; all rows and columns stay."""
     found, _, every = _found(docs, classes or CLASSES, allow)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    rest = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size(every) > 0, rest).otherwise(F.col("text")))
+    one = lambda v, at: F.when(v["low"] >= at["b"], mark).otherwise("")
+    out = found.withColumn("text", F.when(F.size(every) > 0, _replaced(F.col("text"), F.col(every), one)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

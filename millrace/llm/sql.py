@@ -28,25 +28,39 @@ s AS (SELECT doc_id, count_if(exact) AS n_base, min(first) FILTER (WHERE exact)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN s USING (doc_id)"""
 
 
+def _re2(pattern: str) -> str:
+    """The same matches without what a linear matcher has no need of: possessive repetition, and looking back for where a part begins."""
+    return pattern.replace("++", "+").replace("*+", "*").replace("*?", "*").replace("(?<![A-Za-z0-9])", "")
+
+
 def secret_sql() -> str:
-    """op2: positions from the lengths of the pieces between matches; entropy of every window, counted afresh."""
-    patterns = [(0, S.ASSIGN), (1, S.ACCESS), (2, S.HEX_LONG), *((S.KINDS.index(k), c[0]) for k, c in S.CLASSES.items())]
-    group = S.ASSIGN
-    parts = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS kind, m, i, len(pieces) AS n, list_sum([length(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([length(x) FOR x IN found[1:i - 1]]), 0) AS start FROM (SELECT doc_id, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS i, found, pieces FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(p)}) AS found, string_split_regex(text, {_quoted(p)}) AS pieces FROM d))"
-        for k, p in patterns
-    )
-    limits = ", ".join(f"({S.KINDS.index(k)}, {w}, {h}::DOUBLE)" for k, (_, _, w, h) in S.CLASSES.items())
-    allowed = " OR ".join(f"regexp_matches(m, {_quoted(a)})" for a in S.ALLOW)
+    """op2: positions from the lengths of the pieces between matches; what base spans and marked parts cover is blanked character by character;
+    entropy of every window of the candidates that are left, counted afresh."""
+
+    def parts(kinds: list[tuple[int, str]]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT doc_id, {k} AS kind, m, (list_sum([length(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([length(x) FOR x IN found[1:i - 1]]), 0))::BIGINT AS start FROM (SELECT doc_id, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS i, found, pieces FROM (SELECT doc_id, regexp_extract_all({source}, {_quoted(_re2(p))}) AS found, string_split_regex({source}, {_quoted(_re2(p))}) AS pieces FROM {table}))"
+            for k, p, source, table in kinds
+        )
+
+    known = parts([(0, S.ASSIGN, "text", "d"), (1, S.ACCESS, "text", "d"), (2, S.HEX_LONG, "text", "d"), (9, S.MARKED, "text", "d")])
+    cut = parts([(S.KINDS.index(k), c[0], "text", "x") for k, c in S.CLASSES.items()])
+    limits = ", ".join(f"({S.KINDS.index(k)}, {w}, {h}::DOUBLE)" for k, (_, w, h) in S.CLASSES.items())
+    allowed = " OR ".join(f"regexp_matches(m, {_quoted(_re2(a))})" for a in S.ALLOW)
     names = "[" + ", ".join(map(_quoted, S.KINDS)) + "]"
     joined = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-a AS (SELECT doc_id, kind, m, start::BIGINT AS start, (start + length(m))::BIGINT AS stop, {names}[kind + 1] AS name FROM ({parts})),
-b AS (SELECT * FROM a WHERE (kind = 0 AND length(regexp_extract(m, {_quoted(group)}, 2)) >= 6) OR (kind = 1 AND length(m) >= 20) OR kind = 2),
-n AS (SELECT * FROM a WHERE kind > 2 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND a.start < b.stop AND b.start < a.stop)),
+a AS (SELECT *, (start + length(m))::BIGINT AS stop FROM ({known})),
+b AS (SELECT * FROM a WHERE (kind = 0 AND length(regexp_extract(m, {_quoted(S.ASSIGN)}, 2)) >= 6) OR (kind = 1 AND length(m) >= 20) OR kind = 2 OR kind = 9),
+p AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS at_ FROM b),
+g AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, unnest(range(0, length(text))) AS at_ FROM d WHERE doc_id IN (SELECT doc_id FROM b)),
+h AS (SELECT g.doc_id, string_agg(CASE WHEN p.at_ IS NULL THEN ch ELSE ' ' END, '' ORDER BY g.at_) AS text FROM g LEFT JOIN p USING (doc_id, at_) GROUP BY g.doc_id),
+x AS (SELECT d.doc_id, coalesce(h.text, d.text) AS text FROM d LEFT JOIN h USING (doc_id)),
+n AS (SELECT doc_id, kind, m, start, start + length(m) AS stop FROM ({cut}) WHERE NOT ({allowed})),
 w AS (SELECT n.*, least, size, unnest(range(1, length(m) - size + 2)) AS at_ FROM n JOIN (VALUES {limits}) l(kind, size, least) USING (kind)),
 e AS (SELECT doc_id, kind, start, at_, any_value(least) AS least, log2(any_value(size)) - sum(c * log2(c)) / any_value(size) AS h FROM (SELECT doc_id, kind, start, at_, least, size, ch, count(*) AS c FROM (SELECT *, unnest(string_split(substr(m, at_, size), '')) AS ch FROM w) GROUP BY ALL) GROUP BY doc_id, kind, start, at_),
 k AS (SELECT doc_id, kind, start FROM e GROUP BY doc_id, kind, start HAVING max(h) >= any_value(least)),
-z AS (SELECT doc_id, kind, name, start, stop FROM b UNION ALL SELECT n.doc_id, n.kind, name, n.start, stop FROM n JOIN k USING (doc_id, kind, start))
+y AS (SELECT doc_id, kind, start, stop FROM b WHERE kind < 9 UNION ALL SELECT n.doc_id, n.kind, n.start, stop FROM n JOIN k USING (doc_id, kind, start)),
+z AS (SELECT *, {names}[kind + 1] AS name FROM y)
 SELECT d.doc_id, coalesce(count_if(kind = 0), 0)::BIGINT AS n_assign, coalesce(count_if(kind = 1), 0)::BIGINT AS n_access, coalesce(count_if(kind = 2), 0)::BIGINT AS n_hex, sha256(coalesce({joined} FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce({joined}, '') AS spans FROM d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id"""

@@ -150,23 +150,29 @@ def secrets(t: str | None) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+MARKS = ("abcdefghijkl", "0123456789abcdef", "1234567890123", "example", "sample", "placeholder", "dummy", "xxxx")
+PLAIN = re.compile(r"[A-Za-z+/_-]+|[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+
+
 def entropies(t: str, base: list) -> list[tuple[int, int, int]]:
-    out = []
-    for rank, kind in ((3, "entropy_hex"), (4, "entropy_base64")):
-        pattern, _, w, least = secret_scan.CLASSES[kind]
+    """Candidates of what base spans and parts with a mark leave, by the entropy of every window."""
+    blank = list(t)
+    for a, b in [(a, b) for a, _, b in base] + [m.span() for m in re.finditer(r"[A-Za-z0-9]+", t) if any(x in m[0].lower() for x in MARKS)]:
+        blank[a:b] = " " * (b - a)
+    t, out = "".join(blank), []
+    for rank, pattern, w, least in ((3, r"[0-9A-Fa-f]{32,}", 32, 3.2), (4, r"[A-Za-z0-9+/_-]{24,}", 24, 4.0)):
         for m in re.finditer(pattern, t):
             best = max(math.log2(w) - sum(c * math.log2(c) for c in Counter(m[0][i : i + w]).values()) / w for i in range(len(m[0]) - w + 1))
-            if best >= least and not any(re.search(a, m[0]) for a in secret_scan.ALLOW) and not any(m.start() < e and s < m.end() for s, _, e in base):
+            if best >= least and not PLAIN.fullmatch(m[0]):
                 out.append((m.start(), rank, m.end()))
     return out
 
 
 def test_secret_scan_matches_brute_force(docs, rows):
-    join = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     want = Counter()
     for r in rows:
         base = secrets(r[1])
-        want[(r[0], *[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(join(base).encode()).hexdigest(), join(sorted(base + entropies(r[1] or "", base))))] += 1
+        want[(r[0], *[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + entropies(r[1] or "", base)))] += 1
     assert Counter(tuple(r) for r in secret_scan.scan(docs).collect()) == want
     assert any("entropy_base64" in k[-1] for k in want) and any("entropy_hex" in k[-1] for k in want)
 
@@ -177,12 +183,63 @@ def test_secret_scan_allows_uuids_and_words(spark):
     assert {r["spans"] for r in secret_scan.scan(df).collect()} == {""}
 
 
+def redacted(t: str) -> str:
+    base, out, at = secrets(t), "", 0
+    for start, _, end in sorted(base + entropies(t, base)):
+        if start >= at:
+            out += t[at:start] + "<SECRET>"
+        at = max(at, end)
+    return out + t[at:]
+
+
+def joined(spans: list) -> str:
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_marks_suppress_their_part_only(spark):
+    key = "aB3dE5fG7hI9jK1mN2oP4qR6sT8uV0wX"
+    texts = {f"sample_id={key}": (10, 42), f"/example/{key}": (8, 41), f"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY {key}xxxx": None, f"{key[:20]}/xXxX+{key}": (25, 58), key: (0, 32)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
+    for i, (t, span) in enumerate(texts.items()):
+        assert out[i] == joined(entropies(t, [])) == (f"entropy_base64:{span[0]}:{span[1]}" if span else "")
+
+
+@pytest.mark.parametrize("name", ["base64", "hex", "path", "dashes", "matches", "mixed", "blocks"])
+def test_secret_scan_of_very_long_texts(spark, name):
+    """In seconds, and as brute force has it: a long candidate, a long path, many matches, and numbers of matches at the edge of a block."""
+    rng = random.Random(3)
+    take = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = {
+        "base64": lambda: "a " + take(alnum + "+/", 1_000_000) + " b", "hex": lambda: take("0123456789ABCDEF", 100_000), "path": lambda: "a/" * 100_000 + "b12345x", "dashes": lambda: "a-" * 100_000 + "b1234",
+        "matches": lambda: "token=abcdef1 " * 100_000, "mixed": lambda: " ".join(rng.choice(["secret: hunter22", "é😀", take(alnum, 40), take("0123456789abcdef", 30), "sample" + take(alnum, 30)]) for _ in range(3000)),
+        "blocks": lambda: "token=abcdef1 é " * 513,
+    }[name]()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got, base = secret_scan.scan(df).first(), secrets(text)
+    assert got["spans"] == joined(base + entropies(text, base))
+    assert got["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest()
+    assert secret_scan.redact(df).first()["text"] == redacted(text)
+
+
+def test_best_entropy_is_that_of_all_windows(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("+/09AZ_az-"[: rng.randint(1, 10)]) for _ in range(rng.randint(1, 90))),) for _ in range(60)]
+    for w in (2, 24, 63):
+        for r in spark.createDataFrame(rows, "s string").select("s", secret_scan.best_entropy(F.col("s"), w).alias("h")).collect():
+            s = r["s"]
+            want = max((math.log2(w) - sum(c * math.log2(c) for c in Counter(s[i : i + w]).values()) / w for i in range(len(s) - w + 1)), default=0.0)
+            assert r["h"] == pytest.approx(want, abs=1e-8)
+
+
 def test_redaction_leaves_no_secret(docs, rows):
     out = secret_scan.redact(docs)
     assert out.count() == len(rows)
     assert {r["spans"] for r in secret_scan.scan(out).collect()} == {""}
     changed = out.where(F.col("text").contains("<SECRET>")).collect()
     assert {r["doc_id"] for r in changed} == {r[0] for r in rows if secrets(r[1]) or entropies(r[1] or "", [])}
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((r[0], r[1] and redacted(r[1])) for r in rows)
     assert all(r["n_chars"] == len(r["text"]) for r in changed)
 
 
