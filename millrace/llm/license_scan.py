@@ -1,9 +1,10 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 All rolling word k-gram hashes of a text are joined with the k-gram hashes of template positions. A hit votes for the diagonal (word position in
-the text less position in the template). Votes are counted by diagonal, neighbouring diagonals of one template are merged (words put in or
-left out move a passage to the next diagonal), and each merged span is verified word by word: its score is the share of the template's
-words found in order of diagonal within the span.
+the text less position in the template). Votes are counted by diagonal, neighbouring diagonals of one template are merged to a passage (words put in or
+left out move what follows to a diagonal nearby), and each passage is verified: of all windows over it that are as long as the template and a
+quarter more, the one in which the passage's k-grams cover the most words of the template is its span, and that share is its score. So stray
+hits that join a passage, however many, take nothing from it. A template of few words must stand as it is, on one diagonal.
 
 The templates are the operator's own fixed table, of bounded size, so that side of the join is broadcast; the k-grams of the corpus are never
 shuffled, only hits are. Hits are keyed by the digest of the text, so copies of a text, and rows without doc_id, need no row number: a group
@@ -15,6 +16,8 @@ returned as null. An empty table gives an empty result. Extra columns are ignore
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +50,8 @@ WORDINGS = (
 )
 #: Share of a wording's words that must be verified; a wording of few words must stand as it is, as one word makes another license of it.
 LEAST, FEW = 0.8, 8
-#: Diagonals this close together are neighbours.
-NEAR = 2
+#: Diagonals this close together are neighbours; a window is longer than its template by one part in SPARE.
+NEAR, SPARE = 3, 4
 
 
 def templates() -> list[tuple[int, list[str], str, bool]]:
@@ -74,7 +77,8 @@ def hits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = [(i, at, w[at], w[at + 1]) for i, w, _, _ in templates() for at in range(len(w) - K + 1)]
     table = spark.createDataFrame(grams, "template int, at int, w0 string, w1 string").withColumn("h", F.xxhash64("w0", "w1"))
-    cut = docs.select(*_digest(F.col("text")), words_of(F.lower("text")).alias("words"))
+    # lower() is meant for A-Z alone: of all else, only the Kelvin sign would become a letter that templates have, so it is taken out of the way.
+    cut = docs.select(*_digest(F.col("text")), words_of(F.lower(F.replace("text", F.lit("\u212a"), F.lit("\u00ff")))).alias("words"))
     shifted = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
     rolled = cut.select("d1", "d2", "d3", F.posexplode(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), shifted.alias("b"))).alias("pos", "g"))
     joined = rolled.withColumn("h", F.xxhash64("g.a", "g.b")).join(F.broadcast(table), "h")
@@ -83,30 +87,37 @@ def hits(docs: DataFrame) -> DataFrame:
     return true.select("d1", "d2", "d3", "template", "pos", "at").distinct()
 
 
+def _window(words: int) -> int:
+    return words + words // SPARE
+
+
 def spans(found: DataFrame) -> DataFrame:
     """(d1, d2, d3, template, first, last, share): places of templates, from hits. Votes are counted by diagonal; then the diagonals of one
-    template that are neighbours, in place and in offset, are merged and the words that their hits cover are counted."""
+    template that are neighbours are merged, and the best window of each passage is verified."""
     spark = found.sparkSession
     key = ["d1", "d2", "d3", "template"]
-    size = spark.createDataFrame([(i, len(w), exact, exact or len(w) <= FEW) for i, w, _, exact in templates()], "template int, size int, exact boolean, strict boolean")
-    votes = found.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.array_sort(F.collect_list("at")).alias("ats")
-    )  # a diagonal has one place per template position at most
-    votes = votes.join(F.broadcast(size), "template")
+    # hits: the most that a window can hold, as a word position starts as many k-grams of a template as are equal.
+    facts = [(i, len(w), exact, exact or len(w) <= FEW, _window(len(w)), _window(len(w)) * max(Counter(zip(w, w[1:], strict=False)).values())) for i, w, _, exact in templates()]
+    size = spark.createDataFrame(facts, "template int, size int, exact boolean, strict boolean, window int, hits int")
+    votes = found.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    votes = votes.join(F.broadcast(size), "template")  # a diagonal has one place per template position at most
     w = Window.partitionBy(*key).orderBy("diagonal")
     # A new passage begins where the next diagonal is further off than neighbours are; what must stand as it is stays by itself.
     fresh = F.when(F.col("strict") | (F.col("diagonal") - F.lag("diagonal").over(w) > NEAR), 1).otherwise(0)
     merged = votes.withColumn("passage", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = merged.groupBy(*key, "size", "exact", "strict", "passage").agg(
-        F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("ats") + K).alias("end"),
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
-    share = covered / F.col("size")
-    # Verified: all words of what must stand as it is; of a longer wording, enough of them, within a span not much longer than it is.
-    ok = F.when(F.col("strict"), covered == F.col("size")).otherwise((share >= LEAST) & (F.col("end") - F.col("first") <= F.col("size") + NEAR))
-    return passages.where(ok).select(*key, F.col("first").cast("long").alias("first"), (F.col("end") - 1).cast("long").alias("last"), share.alias("share"), "exact")
+    rows = F.transform("ats", lambda a: F.struct((F.col("diagonal") + a).alias("pos"), a.alias("at")))
+    passages = merged.groupBy(*key, "size", "exact", "strict", "window", "hits", "passage").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("p"))
+    covered = lambda p: F.size(F.array_distinct(F.flatten(F.transform(p, lambda x: F.sequence(x["at"], x["at"] + K - 1)))))
+    # No window covers more than its passage does.
+    enough = lambda n: F.when(F.col("strict"), n == F.col("size")).otherwise(n >= LEAST * F.col("size"))
+    passages = passages.where(enough(covered(F.col("p"))))
+
+    def verified(x: Column, i: Column) -> Column:
+        inside = F.filter(F.slice("p", i + 1, F.col("hits")), lambda y: y["pos"] <= x["pos"] + F.col("window") - K)
+        return F.struct(covered(inside).alias("n"), (-x["pos"]).alias("less"), (F.array_max(F.transform(inside, lambda y: y["pos"])) + K - 1).alias("last"))
+
+    best = passages.withColumn("best", F.array_max(F.transform("p", verified))).where(enough(F.col("best.n")))
+    return best.select(*key, (-F.col("best.less")).cast("long").alias("first"), F.col("best.last").cast("long").alias("last"), (F.col("best.n") / F.col("size")).alias("share"), "exact")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -11,19 +11,21 @@ def _quoted(s: str) -> str:
 
 
 def license_sql() -> str:
-    """op8: every pair of neighbouring words against every pair of each template."""
+    """op8: every pair of neighbouring words against every pair of each template; passages by diagonals, and every window that begins at a hit."""
     rows = ", ".join(f"({i}, {_quoted(' '.join(w))}, {_quoted(label)}, {str(exact).lower()})" for i, w, label, exact in L.templates())
     return rf"""
 WITH t AS (SELECT template, string_split(said, ' ') AS words, label, exact, exact OR len(string_split(said, ' ')) <= {L.FEW} AS strict FROM (VALUES {rows}) v(template, said, label, exact)),
-g AS (SELECT template, label, exact, strict, len(words) AS size, i - 1 AS place, words[i] AS a, words[i + 1] AS b FROM (SELECT *, unnest(range(1, len(words))) AS i FROM t)),
+g AS (SELECT template, label, exact, strict, len(words) AS size, len(words) + len(words) // {L.SPARE} AS window_, i - 1 AS place, words[i] AS a, words[i + 1] AS b FROM (SELECT *, unnest(range(1, len(words))) AS i FROM t)),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
-v AS (SELECT doc_id, template, label, exact, strict, size, pos - place AS diagonal, list(place) AS places FROM p JOIN g USING (a, b) GROUP BY ALL),
+h AS (SELECT doc_id, template, label, exact, strict, size, window_, pos, place, pos - place AS diagonal FROM p JOIN g USING (a, b)),
+v AS (SELECT DISTINCT doc_id, template, strict, diagonal FROM h),
 f AS (SELECT *, CASE WHEN strict OR diagonal - lag(diagonal) OVER w > {L.NEAR} THEN 1 ELSE 0 END AS fresh FROM v WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-m AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM f),
-q AS (SELECT doc_id, template, label, exact, strict, size, passage, min(diagonal + list_min(places)) AS first, max(diagonal + list_max(places) + {L.K}) AS stop, flatten(list(places)) AS places FROM m GROUP BY ALL),
-c AS (SELECT *, len(list_distinct(list_concat(places, [x + 1 FOR x IN places]))) AS covered FROM q),
-r AS (SELECT *, covered / size AS share FROM c WHERE CASE WHEN strict THEN covered = size ELSE covered / size >= {L.LEAST} AND stop - first <= size + {L.NEAR} END),
+m AS (SELECT doc_id, template, diagonal, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM f),
+q AS (SELECT h.*, passage FROM h JOIN m USING (doc_id, template, diagonal)),
+e AS (SELECT a.doc_id, a.template, a.label, a.exact, a.strict, a.size, a.passage, a.pos AS first, count(DISTINCT b.word)::DOUBLE AS covered FROM (SELECT DISTINCT * EXCLUDE (place, diagonal) FROM q) a JOIN (SELECT doc_id, template, passage, pos, unnest([place, place + 1]) AS word FROM q) b ON a.doc_id = b.doc_id AND a.template = b.template AND a.passage = b.passage AND b.pos BETWEEN a.pos AND a.pos + a.window_ - 2 GROUP BY ALL),
+c AS (SELECT doc_id, template, label, exact, strict, size, passage, max(covered) AS covered, arg_min(first, (-covered, first)) AS first FROM e GROUP BY ALL),
+r AS (SELECT *, covered / size AS share FROM c WHERE CASE WHEN strict THEN covered = size ELSE covered >= {L.LEAST} * size END),
 s AS (SELECT doc_id, count_if(exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM r GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN s USING (doc_id)"""
 

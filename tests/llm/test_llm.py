@@ -467,6 +467,57 @@ def test_license_scan_finds_altered_wordings(spark):
     assert out[3]["labels"] == "" and out[4]["labels"] == "cc-by" and out[5]["labels"] == "cc-by-nc"
 
 
+def licenses_brute(text: str | None) -> tuple[str, float]:
+    """Labels and score: every template, every window, words that pairs of neighbouring words cover, passage by passage."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text or ""))
+    labels, score = set(), 0.0
+    for _, t, label, exact in license_scan.templates():
+        m = len(t)
+        found = [(i, j) for i in range(len(w) - 1) for j in range(m - 1) if w[i] == t[j] and w[i + 1] == t[j + 1]]
+        diagonals = sorted({i - j for i, j in found})
+        strict, passages = exact or m <= 8, []
+        for d in diagonals:
+            if passages and not strict and d - passages[-1][-1] <= 3:
+                passages[-1].append(d)
+            else:
+                passages.append([d])
+        for ds in passages:
+            mine = [(i, j) for i, j in found if i - j in set(ds)]
+            best = max(len({x for i, j in mine if s <= i <= s + m + m // 4 - 2 for x in (j, j + 1)}) for s in range(len(w)))
+            if best == m or (not strict and best >= 0.8 * m):
+                labels.add(label)
+                score = max(score, best / m)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_scores_match_brute_force(spark):
+    """Wordings with words put in, left out and changed, after stray hits and among them."""
+    rng = random.Random(13)
+    rows = [(0, "permission is " * 12 + license_scan.WORDINGS[0][0]), (1, " ".join(x + (" indeed" if i in (4, 9, 14) else "") for i, x in enumerate(license_scan.WORDINGS[0][0].split())))]
+    rows += [(2, license_scan.WORDINGS[0][0].replace("charge", "charge one two three")), (3, "blac\u212b licensed under the apache license version 2 0 \u212aelvin"), (4, None), (5, "under the " * 4000)]
+    strays = [" ".join(p.split()[i : i + 2]) for p, _ in license_scan.WORDINGS for i in range(len(p.split()) - 1)]
+    for k in range(150):
+        text, _ = rng.choice(license_scan.WORDINGS)
+        w = text.split()
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = [rng.choice(["word", "the", "License", "of"])] * rng.randint(0, 3)
+        before, after = ([rng.choice(strays) for _ in range(rng.randint(0, 20))] for _ in range(2))
+        if k % 3 == 0:
+            before = [strays[rng.randrange(6)]] * rng.randint(0, 30)
+        rows.append((100 + k, " ".join([*before, *w, *after]).title()))
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {i: licenses_brute(t) for i, t in rows}
+    assert {i: (x, pytest.approx(s)) for i, (x, s) in want.items()} == out
+    assert out[0] == ("mit", 1.0) and out[1] == ("mit", 1.0) and out[2][0] == "mit" and out[2][1] >= 0.8 and "apache" in out[3][0] and out[5] == ("", 0.0)
+
+
+def test_license_words_are_lowered_from_a_to_z_only(spark):
+    df = spark.createDataFrame([(1, "licensed under the apache \u212aind"), (2, "MIT LICENSE \u212a"), (3, "mit licen\u017fe")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_words"], r["n_base"], r["base_labels"]) for r in license_scan.scan(df).collect()}
+    assert out == {1: (5, 0, ""), 2: (3, 1, "mit"), 3: (2, 0, "")}
+
+
 # --- 9 language ID
 
 
