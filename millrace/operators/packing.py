@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,114 +34,127 @@ def batched(windows: DataFrame, key: str, size: int) -> DataFrame:
     return windows.withColumn("batch_id", F.floor(F.col(key) / size)).withColumn("row", F.col(key) % size)
 
 
-def _folded(df: DataFrame, shard: str, key: str, n: Column, step, end) -> DataFrame:
-    """(shard, key, bin, place) by a fold over each shard's rows in order. Only keys and lengths are sent; a task streams through its shards
-    and holds one shard's open bins. step(state, key, n) and end(state) yield (bin, [keys])."""
+#: What a shard holds: keys, lengths. A rule takes them, how many of them it held before, and whether no more will come; it gives (bins of
+#: keys, what it still holds).
+Held = tuple[np.ndarray, np.ndarray]
+Rule = Callable[[np.ndarray, np.ndarray, int, bool], tuple[list[np.ndarray], Held]]
+
+
+def _packed(df: DataFrame, shard: str, key: str, n: Column, rule: Rule) -> DataFrame:
+    """(shard, key, bin, place): `rule` over each shard's rows in order. Only keys and lengths are sent, and they are handled as arrays, batch
+    by batch; a task goes through its shards one after the other and holds what one shard has open. Shards are to be a share of the data, so that their
+    number grows with it."""
     rows = df.select(F.col(shard).cast("bigint").alias("shard"), F.col(key).cast("bigint").alias("key"), n.cast("bigint").alias("n"))
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "key")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard_now, state, out = None, None, []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bins, held = None, 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            for s, k, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard_now:
-                    if state is not None:
-                        out += [(shard_now, b, keys) for b, keys in end(state)]
-                    shard_now, state = s, {"bin": 0, "held": {}, "used": 0}
-                out += [(s, b, keys) for b, keys in step(state, k, m)]
-            if out:
-                yield _rows(out)
-                out = []
-        if state is not None:
-            out += [(shard_now, b, keys) for b, keys in end(state)]
-        if out:
-            yield _rows(out)
-
-    return dealt.mapInArrow(fold, "shard bigint, key bigint, bin bigint, place bigint")
-
-
-def _rows(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    flat = [(s, k, b, i) for s, b, keys in found for i, k in enumerate(keys)]
-    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], pa.int64()) for j in range(4)], names=["shard", "key", "bin", "place"])
-
-
-def _emit(state: dict, keys: list[int]) -> tuple[int, list[int]]:
-    state["bin"] += 1
-    return state["bin"] - 1, keys
+            shards, keys, lengths = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(shards):
+                continue
+            begins = np.r_[0, np.flatnonzero(np.diff(shards)) + 1]
+            for a, z in zip(begins, np.r_[begins[1:], len(shards)], strict=True):
+                if shards[a] != now:
+                    if now is not None:
+                        yield from _rows(now, bins, rule(*held, len(held[0]), True)[0])
+                    now, bins, held = shards[a], 0, (keys[:0], lengths[:0])
+                out, held = rule(np.r_[held[0], keys[a:z]], np.r_[held[1], lengths[a:z]], len(held[0]), False)
+                yield from _rows(now, bins, out)
+                bins += len(out)
+        if now is not None:
+            yield from _rows(now, bins, rule(*held, len(held[0]), True)[0])
+
+    return dealt.mapInArrow(pack, "shard bigint, key bigint, bin bigint, place bigint")
+
+
+def _rows(shard: int, first: int, bins: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if bins:
+        sizes = [len(b) for b in bins]
+        columns = [np.full(sum(sizes), shard), np.concatenate(bins), np.repeat(np.arange(first, first + len(bins)), sizes), np.concatenate([np.arange(k) for k in sizes])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "key", "bin", "place"])
+
+
+def _cuts(lengths: np.ndarray, length: int, closed: bool) -> list[int]:
+    """Where bins of consecutive samples begin, by search in the running sum; closed: a full bin takes nothing more, even of no length."""
+    total, at, out = np.r_[0, np.cumsum(lengths)], 0, []
+    while at < len(lengths):
+        out.append(at)
+        end = int(np.searchsorted(total, total[at] + length, "right")) - 1
+        if closed and total[end] == total[at] + length:
+            end = int(np.searchsorted(total, total[at] + length, "left"))
+        at = max(end, at + 1)
+    return out
 
 
 def greedy(df: DataFrame, shard: str, key: str, n: Column, length: int) -> DataFrame:
     """Samples in order, never split: one that does not fit opens a new bin; a bin that is exactly full is closed."""
 
-    def step(state, k, m):
-        if m > length - state["used"] and state["held"]:
-            yield _emit(state, list(state["held"]))
-            state["held"], state["used"] = {}, 0
-        state["held"][k] = m
-        state["used"] += m
-        if state["used"] == length:
-            yield _emit(state, list(state["held"]))
-            state["held"], state["used"] = {}, 0
-
-    def end(state):
-        if state["held"]:
-            yield _emit(state, list(state["held"]))
-
-    return _folded(df, shard, key, n, step, end)
-
-
-def _scan(state: dict, length: int, flush: bool):
-    while state["held"]:
-        picked, used = [], 0
-        for k, m in state["held"].items():
-            if used + m <= length:
-                picked.append(k)
-                used += m
-        if not picked:
-            state["held"] = {}
-            return
-        if not flush and used < length:
-            return
-        for k in picked:
-            del state["held"][k]
-        yield _emit(state, picked)
+    def rule(keys, lengths, old, last):
+        cuts = _cuts(lengths, length, True)
+        if last or not cuts:
+            return np.split(keys, cuts[1:]) if cuts else [], (keys[:0], lengths[:0])
+        return np.split(keys[: cuts[-1]], cuts[1:-1]) if len(cuts) > 1 else [], (keys[cuts[-1] :], lengths[cuts[-1] :])
 
+    return _packed(df, shard, key, n, rule)
 
-def scan_and_pick(df: DataFrame, shard: str, key: str, n: Column, length: int, buffer: int) -> DataFrame:
-    """Once the buffer is full, each scan in order of arrival takes all that still fits. Only full bins leave before the end; if nothing
-    fits, what is held is longer than a bin and is dropped."""
 
-    def step(state, k, m):
-        state["held"][k] = m
-        if len(state["held"]) >= buffer:
-            yield from _scan(state, length, False)
+def _fitting(lengths: np.ndarray, room: int) -> np.ndarray:
+    """Which samples one look along the buffer takes: stretch by stretch, each from the next sample that fits for as long as the running sum does."""
+    taken, at = np.zeros(len(lengths), bool), 0
+    while (fits := np.flatnonzero(lengths[at:] <= room)).size:
+        at += int(fits[0])
+        total = np.cumsum(lengths[at:])
+        end = at + int(np.searchsorted(total, room, "right"))
+        taken[at:end] = True
+        room, at = room - int(total[end - at - 1]), end
+    return taken
+
 
-    return _folded(df, shard, key, n, step, lambda state: _scan(state, length, True))
+def scan_and_pick(df: DataFrame, shard: str, key: str, n: Column, length: int, buffer: int) -> DataFrame:
+    """A buffer of samples in order of arrival. Whenever one arrives and the buffer has `buffer` or more, a bin is what a look along it takes;
+    full bins leave, one after the other, until one is not full. At the end those that are not full leave too. A buffer of which nothing fits a bin is
+    given up."""
+
+    def leave(keys, lengths, partial):
+        out = []
+        while len(keys) and ((taken := _fitting(lengths, length)).any() and (partial or lengths[taken].sum() == length)):
+            out.append(keys[taken])
+            keys, lengths = keys[~taken], lengths[~taken]
+        usable = bool((lengths <= length).any())
+        return out, (keys, lengths) if usable else (keys[:0], lengths[:0])
+
+    def rule(keys, lengths, old, last):
+        if last:
+            return leave(keys, lengths, True)
+        # A look follows an arrival: first as many as fill the buffer, then one at a time.
+        bins, held, at = [], (keys[:old], lengths[:old]), old
+        while at < len(keys):
+            end = at + max(buffer - len(held[0]), 1)
+            held = np.r_[held[0], keys[at:end]], np.r_[held[1], lengths[at:end]]
+            at = end
+            if len(held[0]) >= buffer:
+                out, held = leave(*held, False)
+                bins += out
+        return bins, held
+
+    return _packed(df, shard, key, n, rule)
 
 
 def sorted_next_fit(df: DataFrame, shard: str, key: str, n: Column, length: int, buffer: int) -> DataFrame:
-    """Each full buffer is sorted by length, longest first (then by arrival), and packed next-fit; what is longer than a bin is dropped."""
-
-    def clear(state):
-        open_, used = [], 0
-        for k, m in sorted(state["held"].items(), key=lambda x: -x[1]):
-            if m > length:
-                continue
-            if open_ and used + m > length:
-                yield _emit(state, open_)
-                open_, used = [], 0
-            open_.append(k)
-            used += m
-        if open_:
-            yield _emit(state, open_)
-        state["held"] = {}
-
-    def step(state, k, m):
-        state["held"][k] = m
-        if len(state["held"]) >= buffer:
-            yield from clear(state)
-
-    return _folded(df, shard, key, n, step, clear)
+    """Each full buffer is sorted by length, longest first (then by arrival), and cut to bins in that order; what is longer than a bin is dropped."""
+
+    def rule(keys, lengths, old, last):
+        bins, whole = [], len(keys) if last else len(keys) // buffer * buffer
+        for at in range(0, whole, buffer):
+            k, m = keys[at : min(at + buffer, whole)], lengths[at : min(at + buffer, whole)]
+            order = np.argsort(-m, kind="stable")
+            order = order[m[order] <= length]
+            if len(order):
+                bins += np.split(k[order], _cuts(m[order], length, False)[1:])
+        return bins, (keys[whole:], lengths[whole:])
+
+    return _packed(df, shard, key, n, rule)
 
 
 def filled(samples: DataFrame, bins: DataFrame, length: int, pad: Column, ignore: Column) -> DataFrame:

@@ -233,9 +233,17 @@ def padding_target(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg((F.ceil(F.max(n) / 4) * 4).alias("most"), F.count_if(F.col("n_chars") < 1000).alias("n_small"))
 
 
-def _greedy_sql(length: int, shards: int) -> str:
+#: Documents of one shard of the packers: shards are a share of the data.
+SHARD = 500
+
+
+def _lengths(spark, sf):
+    return table(spark, sf, "documents").select(F.floor(F.col("doc_id") / SHARD).alias("shard"), "doc_id", F.size(T.words(F.col("text"))).alias("n"))
+
+
+def _greedy_sql(length: int) -> str:
     return f"""
-WITH RECURSIVE s AS (SELECT doc_id % {shards} AS shard, doc_id AS key, len({W}) AS n, row_number() OVER (PARTITION BY doc_id % {shards} ORDER BY doc_id) AS rn FROM documents WHERE len({W}) BETWEEN 1 AND {length}),
+WITH RECURSIVE s AS (SELECT doc_id // {SHARD} AS shard, doc_id AS key, len({W}) AS n, row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY doc_id) AS rn FROM documents WHERE len({W}) BETWEEN 1 AND {length}),
 f AS (
   SELECT shard, rn, key, n, 0 AS bin, n AS used FROM s WHERE rn = 1
   UNION ALL
@@ -244,16 +252,16 @@ f AS (
 SELECT shard::BIGINT AS shard, bin::BIGINT AS bin, count(*)::BIGINT AS n_samples, sum(n)::BIGINT AS used, string_agg(key::VARCHAR, ',' ORDER BY key) AS keys FROM f GROUP BY shard, bin"""
 
 
-@add(_greedy_sql(512, 4))
+@add(_greedy_sql(512))
 def pack_greedy(spark, sf):
-    """G2 over documents that a bin can hold, in four shards."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(T.words(F.col("text"))).alias("n")).where("n > 0 AND n <= 512")
+    """G2 over documents that a bin can hold, shard by shard."""
+    d = _lengths(spark, sf).where("n > 0 AND n <= 512")
     bins = packing.greedy(d, "shard", "doc_id", F.col("n"), 512).join(d.select(F.col("doc_id").alias("key"), "n"), "key")
     return bins.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n").cast("bigint").alias("used"), F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda x: x.cast("string")), ",").alias("keys"))
 
 
 @add(f"""
-WITH RECURSIVE b AS (SELECT doc_id % 4 AS shard, (row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1) // 16 AS buf, doc_id AS key, len({W}) AS n FROM documents),
+WITH RECURSIVE b AS (SELECT doc_id // {SHARD} AS shard, (row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY doc_id) - 1) // 16 AS buf, doc_id AS key, len({W}) AS n FROM documents),
 s AS (SELECT shard, buf, key, n, row_number() OVER (PARTITION BY shard, buf ORDER BY n DESC, key) AS rn FROM b WHERE n <= 600),
 f AS (
   SELECT shard, buf, rn, key, n, 0 AS bin, n AS used FROM s WHERE rn = 1
@@ -262,17 +270,32 @@ f AS (
   FROM f JOIN s ON s.shard = f.shard AND s.buf = f.buf AND s.rn = f.rn + 1)
 SELECT shard::BIGINT AS shard, string_agg(key::VARCHAR, ',' ORDER BY key) AS keys, sum(n)::BIGINT AS used FROM f GROUP BY shard, buf, bin""")
 def pack_sorted_next_fit(spark, sf):
-    """G5, O9 over documents in four shards, buffers of 16."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(T.words(F.col("text"))).alias("n"))
+    """G5, O9 over documents shard by shard, buffers of 16."""
+    d = _lengths(spark, sf)
     bins = packing.sorted_next_fit(d, "shard", "doc_id", F.col("n"), 600, 16).join(d.select(F.col("doc_id").alias("key"), "n"), "key")
     return bins.groupBy("shard", "bin").agg(F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda x: x.cast("string")), ",").alias("keys"), F.sum("n").cast("bigint").alias("used")).drop("bin")
 
 
-@add()
+#: One row per look along a shard's buffer. acc: what the look takes; settled: wait for the next arrival; past the last one, what is left leaves.
+SCAN_SQL = f"""
+WITH RECURSIVE s AS (SELECT doc_id // {SHARD} AS shard, doc_id AS key, len({W}) AS n, row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY doc_id) AS rn FROM documents),
+c AS (SELECT shard, count(*) AS total FROM s GROUP BY shard),
+f AS (
+  SELECT shard, total, 0::BIGINT AS rn, 0::BIGINT AS step, []::STRUCT(k BIGINT, n BIGINT)[] AS held, NULL::BIGINT[] AS took, true AS settled FROM c
+  UNION ALL
+  SELECT shard, total, rn, step, rest, CASE WHEN leaves THEN acc.keys END, NOT leaves OR len(rest) = 0 FROM (
+    SELECT *, CASE WHEN acc IS NULL OR (NOT leaves AND len(acc.keys) > 0) THEN held WHEN NOT leaves THEN [] ELSE list_filter(held, lambda x: NOT list_contains(acc.keys, x.k)) END AS rest FROM (
+      SELECT *, acc IS NOT NULL AND len(acc.keys) > 0 AND (rn > total OR acc.used = 600) AS leaves FROM (
+        SELECT *, CASE WHEN again OR rn > total OR len(held) >= 16 THEN list_reduce(held, lambda a, x: CASE WHEN a.used + x.n <= 600 THEN {{'used': a.used + x.n, 'keys': list_append(a.keys, x.k)}} ELSE a END, {{'used': 0::BIGINT, 'keys': []::BIGINT[]}}) END AS acc FROM (
+          SELECT f.shard, f.total, CASE WHEN f.settled THEN f.rn + 1 ELSE f.rn END AS rn, f.step + 1 AS step, NOT f.settled AS again, CASE WHEN s.key IS NULL THEN f.held ELSE list_append(f.held, {{'k': s.key, 'n': s.n}}) END AS held
+          FROM f LEFT JOIN s ON f.settled AND s.shard = f.shard AND s.rn = f.rn + 1 WHERE NOT f.settled OR f.rn <= f.total)))))
+SELECT shard::BIGINT AS shard, unnest(took) AS key, bin, unnest(range(0, len(took))) AS place FROM (SELECT shard, took, row_number() OVER (PARTITION BY shard ORDER BY step) - 1 AS bin FROM f WHERE took IS NOT NULL)"""
+
+
+@add(SCAN_SQL)
 def pack_scan_pick(spark, sf):
-    """G4 over documents in four shards, a buffer of 16; tested against a plain fold."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(T.words(F.col("text"))).alias("n"))
-    return packing.scan_and_pick(d, "shard", "doc_id", F.col("n"), 600, 16)
+    """G4 over documents shard by shard, a buffer of 16."""
+    return packing.scan_and_pick(_lengths(spark, sf), "shard", "doc_id", F.col("n"), 600, 16)
 
 
 @add("SELECT doc_id, sum(n)::BIGINT AS total FROM (SELECT doc_id, unnest([length(text) % 5, length(text) % 3, 4]) AS n FROM documents) GROUP BY doc_id")

@@ -40,7 +40,7 @@ def lookup(name: str, path: str | None = None, kind: str | None = None) -> tuple
     """(path, dataset) of a name in any case; a given path goes before the default; unknown names raise, with the known ones."""
     known = {k: d for k, d in REGISTRY.items() if kind in (None, d.kind)}
     if name.lower() not in known:
-        raise ValueError(f"Dataset {name} is not supported. Supported datasets are: {sorted(known)}")
+        raise ValueError(f"no dataset is registered as {name!r}; there are {sorted(known)}")
     found = known[name.lower()]
     return path or found.path, found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -39,30 +40,25 @@ def greedy_plain(lengths, size):
 
 
 def scan_plain(lengths, size, buffer):
-    bins, held = [], []
+    """The state after each arrival, by definition: what one look takes, and what leaves."""
+
+    def look(held):
+        return reduce(lambda p, k: [*p, k] if sum(lengths[x] for x in [*p, k]) <= size else p, held, [])
 
-    def run(flush):
-        while held:
-            picked, used = [], 0
-            for k in held:
-                if used + lengths[k] <= size:
-                    picked.append(k)
-                    used += lengths[k]
-            if not picked:
-                held.clear()
-                return
-            if not flush and used < size:
-                return
-            for k in picked:
-                held.remove(k)
-            bins.append(picked)
+    def settle(held, least):
+        took = look(held)
+        if not took:
+            return [], []
+        if sum(lengths[k] for k in took) < least:
+            return [], held
+        bins, rest = settle([k for k in held if k not in took], least)
+        return [took, *bins], rest
 
+    bins, held = [], []
     for k in range(len(lengths)):
-        held.append(k)
-        if len(held) >= buffer:
-            run(False)
-    run(True)
-    return bins
+        out, held = settle([*held, k], size) if len(held) + 1 >= buffer else ([], [*held, k])
+        bins += out
+    return bins + settle(held, 0)[0]
 
 
 def next_fit_plain(lengths, size, buffer):
