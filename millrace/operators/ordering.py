@@ -1,27 +1,45 @@
-"""Global order without a single-task window: prefix sums and ordinals in two phases."""
+"""Global order without a single-task window: prefix sums and ordinals in three phases."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys per bucket of the two-phase prefix sum.
-SPAN = 1 << 16
+#: Keys per bucket, and buckets per group of buckets (a power of 2): 64-bit keys have at most 1 << 24 groups, however sparse they are.
+SPAN, GROUP_BITS = 1 << 16, 24
 
 
 def prefix_sum(df: DataFrame, key: str, value: Column, out: str, span: int = SPAN, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """df with the sum of `value` over all rows before it in the order of the whole-number column `key` (then `ties`), within each group of
-    `by`. Buckets of `span` keys are summed first; their running sums (one row per bucket) are joined back, and only rows of one bucket meet
-    in a task, so the order of any number of rows costs two shuffles and no task holds more than a bucket."""
+    `by`. Buckets of `span` keys (a power of 2) are summed first, and then groups of buckets. Running sums go from groups to buckets to
+    rows, so no task holds more than one bucket's rows, one group's buckets (16 million at most) or a `by`'s groups (as many), whether keys are dense or
+    spread over 64 bits. Rows whose key is null are one bucket and come first; nulls in `by` are a group of their own."""
+    if span < 1 or span & (span - 1):
+        raise ValueError("a span is a power of 2")
     by = by or []
-    bucket, base, val = f"__{out}_bucket", f"__{out}_base", f"__{out}_value"
-    rows = df.withColumn(bucket, F.floor(F.col(key) / span)).withColumn(val, value)
-    sums = rows.groupBy(*by, bucket).agg(F.sum(val).alias(base))
-    running = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn(base, F.coalesce(F.sum(base).over(running), F.lit(0)))
+    bucket, group, base, val = (f"__{out}_{x}" for x in ("bucket", "group", "base", "value"))
+    rows = df.withColumn(bucket, F.shiftright(F.col(key).cast("bigint"), span.bit_length() - 1)).withColumn(val, value)
+    sums = rows.groupBy(*by, bucket).agg(F.sum(val).alias(base)).withColumn(group, F.shiftright(bucket, GROUP_BITS))
+    tops = _running(sums.groupBy(*by, group).agg(F.sum(base).alias(base)), by, group, base)
+    bases = _same(_running(sums, [*by, group], bucket, base), tops.withColumnRenamed(base, f"{base}_top"), [*by, group])
+    bases = bases.select(*by, bucket, (F.col(base) + F.col(f"{base}_top")).alias(base))
     inner = Window.partitionBy(*by, bucket).orderBy(key, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(bases, [*by, bucket])
-    return joined.withColumn(out, F.col(base) + F.coalesce(F.sum(val).over(inner), F.lit(0))).drop(bucket, base, val)
+    return _same(rows, bases, [*by, bucket]).withColumn(out, F.col(base) + F.coalesce(F.sum(val).over(inner), F.lit(0))).drop(bucket, base, val)
+
+
+def _running(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """df with the sum of `value` before each row."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(value, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join by columns in which nulls are equal."""
+    other = right.withColumnsRenamed({c: f"{c}__r" for c in on})
+    met = left.join(other, reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"{c}__r"]) for c in on]))
+    return met.drop(*[f"{c}__r" for c in on])
 
 
 def ordinal(df: DataFrame, key: str, out: str, by: list[str] | None = None, ties: list[str] | None = None, span: int = SPAN) -> DataFrame:
@@ -30,11 +48,11 @@ def ordinal(df: DataFrame, key: str, out: str, by: list[str] | None = None, ties
 
 
 def shuffled_ordinal(df: DataFrame, digest: Column, out: str, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Each row's number from 0 in the order of a hexadecimal digest: buckets are the digest's first 4 digits."""
+    """Each row's number from 0 in the order of a hexadecimal digest: buckets are the digest's first 6 digits."""
     h = f"__{out}_h"
     n = f"__{out}_n"
     rows = df.withColumn(h, digest).withColumn(n, F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint"))
-    return ordinal(rows, n, out, by, [h, *(ties or [])], span=1 << 40).drop(h, n)
+    return ordinal(rows, n, out, by, [h, *(ties or [])], span=1 << 24).drop(h, n)
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
@@ -43,9 +61,8 @@ def first_per_group(df: DataFrame, by: list[str], order: list[Column | str], n:
 
 
 def prefix_within(df: DataFrame, by: list[str], order: list[str], value: Column, budget: int) -> DataFrame:
-    """Per group, the longest run of first rows whose summed value keeps to the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__sum", F.sum(value).over(w)).where(F.col("__sum") <= budget).drop("__sum")
+    """Per group, the longest run of first rows whose summed value (nothing below 0) keeps to the budget. order: a whole-number column, then ties."""
+    return prefix_sum(df, order[0], value, "__sum", by=by, ties=order[1:]).where(F.col("__sum") + value <= budget).drop("__sum")
 
 
 def latest_step(df: DataFrame, step: Column, usable: Column) -> DataFrame:
@@ -54,10 +71,11 @@ def latest_step(df: DataFrame, step: Column, usable: Column) -> DataFrame:
 
 
 def purgeable(df: DataFrame, step: str, keep: int) -> DataFrame:
-    """All but the last `keep` steps; keep = 0 purges nothing."""
+    """All but the last `keep` steps, which are distinct; keep = 0 purges nothing. The last that stays is found by a top-k, not by a sort of all."""
     if keep == 0:
         return df.limit(0)
-    return df.withColumn("__rn", F.row_number().over(Window.orderBy(F.desc(step)))).where(F.col("__rn") > keep).drop("__rn")
+    last = df.select(F.col(step).alias("__s")).orderBy(F.desc("__s")).limit(keep).agg(F.when(F.count(F.lit(1)) == keep, F.min("__s")).alias("__last"))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(last.withColumn("__one", F.lit(1))), "__one").where(F.col(step) < F.col("__last")).drop("__one", "__last")
 
 
 def resumed(df: DataFrame, ordinal_column: str, skip: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
+from millrace.operators.ordering import ordinal
 
 
 def top_k(scores: Column, k: int, bias: Column | None = None) -> Column:
@@ -44,11 +45,13 @@ def bias_step(load: DataFrame, rate: float) -> DataFrame:
 
 
 def permutation(chosen: DataFrame, expert: str, order: list[str]) -> DataFrame:
-    """chosen with the row's place in the order of experts, and of `order` within an expert: load before the expert plus the place in it."""
+    """chosen with the row's place in the order of experts, and of `order` (a whole-number column, then ties) within an expert: load before the expert plus
+    the place in it. An expert's rows are numbered bucket by bucket, so a hot expert is spread over tasks."""
     load = chosen.groupBy(expert).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per expert.
     before = F.coalesce(F.sum("__n").over(Window.orderBy(expert).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy(expert).orderBy(*order)) - 1
-    return chosen.join(load.select(expert, before.alias("__before")), expert).withColumn("place", F.col("__before") + within).drop("__before")
+    numbered = ordinal(chosen, order[0], "__within", by=[expert], ties=order[1:])
+    return numbered.join(load.select(expert, before.alias("__before")), expert).withColumn("place", F.col("__before") + F.col("__within")).drop("__before", "__within")
 
 
 def combined(processed: DataFrame, token: str, gate: str, value: str) -> DataFrame:

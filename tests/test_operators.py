@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
 
 import numpy as np
@@ -127,6 +128,43 @@ def test_prefix_sums_over_many_buckets(spark):
         total += v
 
 
+def test_prefix_sums_of_null_and_sparse_keys(spark):
+    """Null keys come first; keys over all 64 bits, of which two differ where a double would not."""
+    rng = random.Random(2)
+    keys = [None, None, 1, None, 3, -1, (1 << 62) + 1, (1 << 62), (1 << 63) - 1, -(1 << 63)] + [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    rows = [(k, b, i) for i, (k, b) in enumerate((k, rng.choice(["x", "y", None])) for k in keys)]
+    df = spark.createDataFrame(rows, "k long, b string, i long").repartition(3)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    for span in (1, 64, 1 << 16, 1 << 40):
+        got = {r["i"]: r["o"] for r in ordering.ordinal(df, "k", "o", ties=["i"], span=span).collect()}
+        assert [got[i] for _, _, i in sorted(rows, key=order)] == list(range(len(rows)))
+    got = {r["i"]: r["o"] for r in ordering.ordinal(df, "k", "o", by=["b"], ties=["i"]).collect()}
+    for b in ("x", "y", None):
+        assert [got[r[2]] for r in sorted((r for r in rows if r[1] == b), key=order)] == list(range(sum(r[1] == b for r in rows)))
+    with pytest.raises(ValueError, match="power of 2"):
+        ordering.ordinal(df, "k", "o", span=100)
+
+
+def test_retention_keeps_the_last_steps(spark):
+    df = spark.range(50).select((F.col("id") * 7 % 50).alias("step"))
+    assert sorted(r["step"] for r in ordering.purgeable(df, "step", 10).collect()) == list(range(40))
+    assert ordering.purgeable(df, "step", 50).collect() == ordering.purgeable(df, "step", 60).collect() == ordering.purgeable(df, "step", 0).collect() == []
+
+
+def test_prefix_within_a_budget(spark):
+    rows = [(g, k, v) for g in ("a", None) for k, v in enumerate([3, 0, 4, 5, 0, 1])]
+    got = ordering.prefix_within(spark.createDataFrame(rows, "g string, k long, v int"), ["g"], ["k"], F.col("v"), 7).collect()
+    assert sorted((r["g"] or "", r["k"]) for r in got) == [(g, k) for g in ("", "a") for k in range(3)]
+
+
+def test_order_needs_no_task_with_all_rows(spark):
+    """Windows are parted by bucket or group of buckets; one more of the permutation's sees a row per expert."""
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("expert"))
+    for df, more in ((routing.permutation(rows, "expert", ["id"]), 1), (ordering.prefix_within(rows, ["expert"], ["id"], F.lit(1), 5), 0), (ordering.purgeable(rows, "id", 3), 0)):
+        specs = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", df._jdf.queryExecution().optimizedPlan().toString())
+        assert sum("_bucket" not in s and "_group" not in s for s in specs) == more
+
+
 @pytest.mark.parametrize("block", [4, 64])
 def test_window_reads_from_documents(spark, block):
     """Around the end, over many documents and blocks; short streams are tiled, empty ones read as given."""
