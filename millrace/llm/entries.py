@@ -38,7 +38,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(shared.table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+    """The model is trained on the labelled table's rows that are not held out."""
+    return url_filter.judge(shared.table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark).where("NOT held_out"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,21 +423,58 @@ def test_url_filter_matches_brute_force(spark):
         host, path, best = url_brute([*urls, urls[0]][r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[0])
         assert r["p_block"] == pytest.approx(url_filter.score(host, path, w, bias))
-        assert r["verdict"] == (best[1] if best else "block" if r["p_block"] >= 0.5 else "allow")
+        assert r["verdict"] == (best[1] if best else "block" if r["p_block"] > 0.5 else "allow")
     said = {urls[r["page_id"] % len(urls)]: r["verdict"] for r in out}
-    assert said["https://spam-farm.example.com/en/1"] == "block" and said["https://library.example.org/en/2"] == "allow" and said[None] == "allow"
+    assert said["https://library.example.org/en/2"] == "allow" and said[None] == "allow"
 
 
-def test_url_model_holds_on_other_urls(spark):
-    w, bias = url_filter.train(url_filter.labelled_urls(spark))
-    for host in ("casino-night.example.com", "cheap-pills.example.org", "adult-chat.example.com", "m.spam-mail.example.net"):
-        assert url_filter.score(host, "/en/1", w, bias) >= 0.5, host
-    for host in ("www.theatre.example.com", "history.example.org", "m.erstonha.example.com", "blog.wiki.example.net"):
-        assert url_filter.score(host, "/en/1", w, bias) < 0.5, host
+def grams_brute(host: str, path: str) -> Counter:
+    return Counter((k, s[i : i + n]) for k, s in enumerate((f"^{host}$", f"^{path}$")) if len(s) > 2 for n in (3, 4, 5) for i in range(len(s) - n + 1))
 
 
-def test_url_filter_without_pages(spark):
+def test_url_model_matches_a_plain_fit(spark):
+    """Logistic regression with the bias, in plain Python, on the hashed slots of n-grams."""
+    rows = [("http://bets.example/win", 1), ("http://pills.example/buy", 1), ("http://tea.example/a", 0), ("http://oak.example/b", 0), ("http://elm.example", 0), (None, 1), ("http://x.example", None)]
+    w, bias = url_filter.train(spark.createDataFrame(rows, "url string, block int"), rounds=50)
+    x = [({xxhash.xxh64_intdigest(g, k) % (1 << 14) for k, g in grams_brute(*url_brute(u)[:2])}, y) for u, y in sorted(r for r in rows if None not in r)]
+    v, b = Counter(), 0.0
+    for _ in range(50):
+        g, gb = Counter(), 0.0
+        for slots, y in x:
+            e = (1 / (1 + math.exp(-(sum(v[s] for s in slots) / math.sqrt(len(slots)) + b))) - y) / len(x)
+            gb += e
+            for s in slots:
+                g[s] += e / math.sqrt(len(slots))
+        v = Counter({s: v[s] - 8.0 * (g[s] + 1e-4 * v[s]) for s in {*v, *g}})
+        b -= 8.0 * gb
+    assert bias == pytest.approx(b) and all(w[s] == pytest.approx(v[s]) for s in v) and np.count_nonzero(w) == sum(x != 0 for x in v.values())
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Hosts of the labelled table that training does not see; none of its hosts is one of the pages'."""
+    labelled = url_filter.labelled_urls(spark)
+    hosts = {url_brute(r["url"])[0] for r in labelled.collect()}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        assert not hosts & {url_brute(r["url"])[0] for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    held = labelled.where("held_out")
+    assert not {url_brute(r["url"])[0] for r in held.collect()} & {url_brute(r["url"])[0] for r in labelled.where("NOT held_out").collect()}
+    w, bias = url_filter.train(labelled.where("NOT held_out"))
+    got = url_filter.measured(held, w, bias)
+    assert got["rows"] >= 30 and got["precision"] >= 0.9 and got["recall"] >= 0.4
+    assert url_filter.score("", "", w, bias) < 0.5
+
+
+def test_url_filter_of_very_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://" + "a" * 200_000 + ".net/" + "b" * 800_000), (2, "x" * 1_000_000)], "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.judge(df, url_filter.labelled_urls(spark)).collect()}
+    assert out[1]["verdict"] == "block" and out[1]["rule"] == "net/" and len(out[1]["host"]) == 200_004 and out[2]["host"] == ""
+
+
+def test_url_filter_without_rows(spark):
+    none = spark.createDataFrame([], "url string, block int")
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.labelled_urls(spark)).collect() == []
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame([(1, "http://a.net/"), (2, "http://a.example/")], "page_id long, url string"), none).collect()}
+    assert got == {1: "block", 2: "allow"}
 
 
 # --- 8 license scan
