@@ -575,13 +575,59 @@ def test_language_id_on_held_out_rows(spark):
         assert (r["lang_pred"] == "und") == (r["doc_id"] in (1000, 1001, 1002)) and 0 <= r["score"] <= 1 and r["lang_pred"] != "zz"
 
 
+def grams_of(text: str) -> Counter:
+    """Letter triples, lower-cased, with one blank for what is no letter."""
+    low = "".join(c.lower()[:1] if c.lower()[:1].isalpha() else " " for c in text)
+    s = " " + " ".join(low.split()) + " "
+    return Counter(s[i : i + 3] for i in range(len(s) - 2)) if s.strip() else Counter()
+
+
+def profile_brute(grams: Counter) -> np.ndarray:
+    v = lambda c: language_id.letter_vector(0 if c == " " else ord(c)).astype(int)
+    return sum((n * np.roll(v(g[0]), 2) * np.roll(v(g[1]), 1) * v(g[2]) for g, n in grams.items()), np.zeros(language_id.DIMENSIONS, int))
+
+
 def test_language_profile_is_the_bundle_of_bound_permuted_letters():
-    codes, counts = language_id.gram_counts(b"abc ab")
-    v, want = language_id.letter_vectors().astype(int), np.zeros(language_id.DIMENSIONS)
-    for a, b, c in ((0, 1, 2), (1, 2, 3), (2, 3, 0), (3, 0, 1), (0, 1, 2), (1, 2, 0)):
-        want += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
-    assert np.array_equal(language_id.Encoder().profile(codes, counts), want)
-    assert np.array_equal(language_id.Encoder().whole(codes, counts), want)
+    for text in ("abc ab", "\u0414\u043e\u0431\u0440\u044b\u0439 \u0434\u0435\u043d\u044c, M\u00fcnchen! \u6f22\u5b57", "\U00010400\U00010428 x"):
+        assert np.array_equal(language_id.profile(*language_id.gram_counts(text.encode())), profile_brute(grams_of(text)))
+
+
+def test_every_letter_has_its_own_vector():
+    """Letters 37 code points apart differ; upper and lower case of any script are one."""
+    cyrillic = "".join(map(chr, range(0x430, 0x44A)))
+    shifted = "".join(chr(ord(c) + 37) for c in cyrillic)
+    codes = lambda t: set(language_id.gram_counts(t.encode())[0].tolist())
+    assert not codes(cyrillic) & codes(shifted) and codes(cyrillic) == codes(cyrillic.upper())
+    v = np.stack([language_id.letter_vector(x) for x in [*range(97, 123), *range(0x430, 0x460)]]).astype(int)
+    cosine = v @ v.T / language_id.DIMENSIONS - np.eye(len(v))
+    assert np.abs(cosine).max() < 0.2
+
+
+def test_languages_match_brute_force(spark):
+    """Prototypes and predictions by definition; scripts of their own; texts longer than one read."""
+    rng = random.Random(21)
+    alphabets = {"en": SYLLABLES["en"], "de": SYLLABLES["de"], "ru": list("\u0430\u0431\u0432\u0433\u0434\u0435\u0438\u043a\u043b\u043c"), "el": list("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b9\u03ba\u03bb\u03bc\u03bd")}
+    text = lambda k, n: " ".join("".join(rng.choice(alphabets[k]) for _ in range(4)) for _ in range(n)).title()
+    rows = [(i, text(k, rng.randint(1, 30)), k) for i, k in enumerate(list(alphabets) * 20)]
+    rows += [(500, text("ru", 300_000), "ru"), (501, text("el", 300_000), None), (502, "", "en"), (503, None, "el"), (504, "z", None)]
+    import zlib
+
+    protos = {}
+    for i, t, k in rows:
+        if k and t and zlib.crc32(str(i).encode()) % 4 != 2:
+            protos[k] = protos.get(k, 0) + profile_brute(grams_of(t))
+    out = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, _ in rows:
+        p = profile_brute(grams_of(t or ""))
+        cosine = {k: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for k, v in protos.items()} if p.any() else {"und": 0.0}
+        best = max(sorted(cosine), key=cosine.get)
+        assert (out[i]["lang_pred"], out[i]["score"]) == (best, pytest.approx(max(cosine[best], 0), abs=1e-9)), i
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 40)
+    with pytest.raises(ValueError, match="more than 40"):
+        language_id.learn(spark.range(41).select(F.concat(F.lit("l"), "id").alias("lang"), F.lit("some text").alias("text")))
 
 
 # --- 10 SimHash near-dedup
