@@ -1,17 +1,18 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, then exact weighted-shingle similarity.
 
 Words are runs of letters and digits of the lower-cased text; shingles are five words (an item with fewer words is one shingle). A window has as
-many shingles as the item it is compared with, or the whole document if that is shorter. Its 64-bit SimHash is the majority of its shingles'
+many shingles as the item it is compared with, or is the whole document if that is shorter. Its 64-bit SimHash is the majority of its shingles'
 hashes, repeats included, from running sums of bits along the text. Fingerprints are cut into BLOCKS blocks; if two are within RADIUS bits,
 some block differs in at most RADIUS // BLOCKS bits, so looking up every block in an index that holds each item's block with all its
-changes of so few bits finds all items within the radius. For each of these the exact similarity follows: shingles are weighted with their
-number, and the sum of the lesser weights is divided by the sum of the greater ones.
+changes of so few bits finds all items within the radius. What the blocks find, and nothing else, is a candidate; its exact similarity decides:
+shingles are weighted with their number, and the sum of the lesser weights is divided by the sum of the greater ones.
 
-A window without a shingle of an item has similarity 0 with it, so only windows that hold one are hashed; that leaves out no result. At a
-similarity of 0.8 two fingerprints differ in about 10 bits (standard deviation 3), so a radius of 19 misses fewer than 1 in 1,000 there, and
-none that are closer to equal.
+A window without a shingle of any item has similarity 0 with all, so windows without one of an item of their size are not hashed; which item a
+shingle is of plays no part. At a similarity of 0.8 two fingerprints differ in about 10 bits (standard deviation 3), so a radius of 19 misses
+fewer than 1 in 1,000 there, and none that are closer to equal.
 
-All is done within a row: no shuffle. The items are read in blocks of a bounded number, one pass over the documents for each block.
+Items are read in blocks of a bounded number, one pass over the documents for each block: the driver holds one block's index at a time, and where
+there are several blocks, each pass is written to the shared folder before the next begins.
 
 Cases: a null or wordless text, or item, matches nothing. Repeated rows each get their result; a null doc_id is returned as null. Of windows with
 the same similarity the one with fewer differing bits, then the first, is given. Items with the same text each get their rows. Empty tables
@@ -20,7 +21,6 @@ give an empty result. Extra columns are ignored by leaks() and kept by filter_do
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate, combinations, repeat
 
@@ -64,42 +64,70 @@ def simhashes(h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * (sums[n:] - sums[:-n]) > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+class _Class:
+    """The items of one size (words in a shingle, shingles), and the blocks of their fingerprints."""
+
+    def __init__(self, items: list[int], prints: list[int]) -> None:
+        self.items, self.prints = np.array(items), np.array(prints, np.uint64)
+        # (block, value) -> items whose block is so few bits from that value.
+        keys, of = [], []
+        for b, (low, width) in enumerate(cuts()):
+            own = (self.prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            keys.append((np.uint64(b << 16) | (own[:, None] ^ CHANGES[width][None, :])).ravel())
+            of.append(np.repeat(np.arange(len(own)), len(CHANGES[width])))
+        keys, of = np.concatenate(keys), np.concatenate(of)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order].astype(np.uint32), of[order].astype(np.int32)
+
+    def within(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
+        """(window, item, differing bits) of all items within RADIUS of the windows' fingerprints, found by blocks."""
+        found = []
+        for b, (low, width) in enumerate(cuts()):
+            keys = (np.uint64(b << 16) | ((prints >> np.uint64(low)) & np.uint64((1 << width) - 1))).astype(np.uint32)
+            lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            n = hi - lo
+            window = np.repeat(np.arange(len(prints)), n)
+            at = self.of[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            near = np.bitwise_count(prints[window] ^ self.prints[at]) <= RADIUS
+            found.append(window[near] * len(self.prints) + at[near])
+        pairs = np.unique(np.concatenate(found))
+        window, at = pairs // len(self.prints), pairs % len(self.prints)
+        differ = np.bitwise_count(prints[window] ^ self.prints[at])
+        return list(zip(window.tolist(), self.items[at].tolist(), differ.tolist(), strict=True))
+
+
+#: All changes of so few bits, by a block's width.
+CHANGES = {w: np.array([sum(1 << j for j in c) for few in range(RADIUS // BLOCKS + 1) for c in combinations(range(w), few)], np.uint64) for w in {width for _, width in cuts()}}
+
+
 class Index:
-    """The items of one block: their words, shingles by length, and the blocks of their fingerprints."""
+    """The items of one block: their words and shingles, and a class for each size."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.ids, self.size, self.count, self.shingles = [], [], [], []
+        self.ids, self.count, self.shingles = [], [], []
         self.words: dict[bytes, int] = {}
-        prints = []
+        by_size: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        #: Sizes of the items that have a shingle, by its words, for each shingle size.
+        holders: dict[int, dict[tuple, set[int]]] = {}
         for item_id, text in items:
             w = words_of(text)
             if not w:
                 continue
             k = min(SHINGLE, len(w))
+            n = len(w) - k + 1
             numbers = [self.words.setdefault(x, len(self.words) + 1) for x in w]
-            shingles = Counter(tuple(numbers[i : i + k]) for i in range(len(w) - k + 1))
+            shingles = Counter(tuple(numbers[i : i + k]) for i in range(n))
+            own = by_size.setdefault((k, n), ([], []))
+            own[0].append(len(self.ids))
+            own[1].append(int(simhashes(hashes(w, k), n)[0]))
             self.ids.append(item_id)
-            self.size.append(k)
-            self.count.append(len(w) - k + 1)
+            self.count.append(n)
             self.shingles.append(shingles)
-            prints.append(int(simhashes(hashes(w, k), len(w) - k + 1)[0]))
-        self.prints = np.array(prints, np.uint64)
-        #: Items by a shingle's words, for each shingle size.
-        self.holders: dict[int, dict[tuple, list[int]]] = {}
-        for i, s in enumerate(self.shingles):
-            for x in s:
-                self.holders.setdefault(self.size[i], {}).setdefault(x, []).append(i)
-        self.codes = {k: np.unique([self.code(np.array(x, np.uint64)) for x in d]) for k, d in self.holders.items()}
-        #: (block, value) -> items whose block is so few bits from that value.
-        keys, of = [], []
-        for b, (low, width) in enumerate(cuts()):
-            changes = np.array([sum(1 << j for j in c) for few in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), few)], np.uint64)
-            own = (self.prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
-            keys.append((np.uint64(b << 16) | (own[:, None] ^ changes[None, :])).ravel())
-            of.append(np.repeat(np.arange(len(own)), len(changes)))
-        keys, of = np.concatenate(keys), np.concatenate(of)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.of = keys[order], of[order].astype(np.int32)
+            for x in shingles:
+                holders.setdefault(k, {}).setdefault(x, set()).add(n)
+        self.classes = {size: _Class(*own) for size, own in by_size.items()}
+        self.holders = {k: {x: tuple(sorted(n)) for x, n in d.items()} for k, d in holders.items()}
+        self.codes = {k: np.unique([self.code(np.array(x, np.uint64)) for x in d]) for k, d in holders.items()}
 
     @staticmethod
     def code(numbers: np.ndarray) -> np.ndarray:
@@ -110,24 +138,6 @@ class Index:
             out ^= out >> np.uint64(29)
         return out[0]
 
-    def within(self, prints: np.ndarray, of: set[int]) -> list[tuple[int, int, int]]:
-        """(window, item, differing bits) of the items of `of` within RADIUS of the windows' fingerprints, found by blocks."""
-        found = []
-        for b, (low, width) in enumerate(cuts()):
-            keys = np.uint64(b << 16) | ((prints >> np.uint64(low)) & np.uint64((1 << width) - 1))
-            lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            n = hi - lo
-            window = np.repeat(np.arange(len(prints)), n)
-            item = self.of[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            found.append(window * len(self.ids) + item)
-        pairs = np.unique(np.concatenate(found))
-        window, item = pairs // max(len(self.ids), 1), pairs % max(len(self.ids), 1)
-        own = np.isin(item, np.fromiter(of, np.int64, len(of)))
-        window, item = window[own], item[own]
-        differ = np.bitwise_count(prints[window] ^ self.prints[item])
-        near = differ <= RADIUS
-        return list(zip(window[near].tolist(), item[near].tolist(), differ[near].tolist(), strict=True))
-
     def search(self, text: bytes) -> list[dict]:
         """The best window of each item that the text holds."""
         w = words_of(text)
@@ -149,34 +159,34 @@ class Index:
             places = run[held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code]
             at: dict[int, list[int]] = {}
             for p in places.tolist():
-                for i in holders.get(tuple(numbers[p : p + k].tolist()), ()):
-                    at.setdefault(i, []).append(p)
-            by_count: dict[int, set[int]] = {}
-            for i in at:
-                by_count.setdefault(min(self.count[i], len(w) - k + 1), set()).add(i)
-            for n, items in by_count.items():
-                hit = np.unique(np.concatenate([at[i] for i in items]))
+                for n in holders.get(tuple(numbers[p : p + k].tolist()), ()):
+                    at.setdefault(n, []).append(p)
+            whole = len(w) - k + 1
+            for n, hits in at.items():
+                m = min(n, whole)
+                if m < LEAST * n:
+                    continue  # the document is too short for items of that size
                 # Windows that hold a hit, as stretches of starts.
-                lo, hi = np.maximum(hit - n + 1, 0), np.minimum(hit, len(w) - k + 1 - n)
+                hit = np.array(hits)
+                lo, hi = np.maximum(hit - m + 1, 0), np.minimum(hit, whole - m)
                 cut = np.flatnonzero(lo[1:] > hi[:-1] + 1) + 1
                 for a, b in zip(lo[np.r_[0, cut]], hi[np.r_[cut - 1, len(hi) - 1]], strict=True):
-                    self._stretch(w, numbers, k, n, int(a), int(b), at, items, best)
+                    self._stretch(w, numbers, k, m, int(a), int(b), self.classes[k, n], best)
         return [
             {"item_id": self.ids[i], "start_word": s, "n_words": n + k - 1, "differing_bits": d, "similarity": sim}
             for i, (sim, d, s, k, n) in sorted(best.items(), key=lambda x: self.ids[x[0]])
         ]
 
-    def _stretch(self, w, numbers, k, n, first, last, at, items, best) -> None:
-        """Compares the windows of n shingles that start from first to last with the items; at: where the text has an item's shingles."""
+    def _stretch(self, w, numbers, k, n, first, last, items: _Class, best) -> None:
+        """Compares the windows of n shingles that start from first to last with the items that the blocks find."""
         for low in range(first, last + 1, 4096):
             end = min(low + 4095, last)
             prints = simhashes(hashes(w[low : end + n + k - 1], k), n)
-            for window, i, differ in self.within(prints, items):
-                s = low + window
-                most = bisect_left(at[i], s + n) - bisect_left(at[i], s)
-                if most < LEAST * (n + self.count[i] - most):
-                    continue
-                mine = Counter(map(tuple, numbers[np.arange(s, s + n)[:, None] + np.arange(k)].tolist()))
+            held, mine = -1, Counter()
+            for window, i, differ in items.within(prints):
+                if window != held:
+                    held, s = window, low + window
+                    mine = Counter(map(tuple, numbers[np.arange(s, s + n)[:, None] + np.arange(k)].tolist()))
                 both = sum(min(c, mine[x]) for x, c in self.shingles[i].items() if x in mine)
                 sim = both / (n + self.count[i] - both)
                 if sim >= LEAST and (i not in best or (-sim, differ, s) < (-best[i][0], best[i][1], best[i][2])):
@@ -188,13 +198,13 @@ FOUND_SQL = "array<struct<item_id:bigint,start_word:bigint,n_words:bigint,differ
 
 
 def blocks_of(benchmark: DataFrame, most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES):
-    """The items, block by block, each of bounded size: the table is counted first and dealt by a digest of its rows."""
+    """(items, whether there is one block only), block by block, each of bounded size: the table is counted first and dealt by a digest of its rows."""
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n = max(1, -(-2 * size["n"] // most_items) if size["n"] > most_items else 1, -(-2 * size["b"] // most_bytes) if size["b"] > most_bytes else 1)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in part.collect()]
+        yield [(r["item_id"], r["text"].encode()) for r in part.collect()], n == 1
 
 
 def found(index: Index, text: str | Column = "text") -> Column:
@@ -204,15 +214,17 @@ def found(index: Index, text: str | Column = "text") -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, differing_bits, similarity of each benchmark item that a document holds."""
-    parts = [docs.select("doc_id", F.explode(found(Index(items))).alias("x")).select("doc_id", "x.*") for items in blocks_of(benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    out = None
+    for items, only in blocks_of(benchmark):
+        part = docs.select("doc_id", F.explode(found(Index(items))).alias("x")).select("doc_id", "x.*")
+        part = part if only else shared.written(part, "leaks")
+        out = part if out is None else out.unionAll(part)
     return out
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    for items in blocks_of(benchmark):
+    for items, only in blocks_of(benchmark):
         docs = docs.where(F.size(found(Index(items))) == 0)
+        docs = docs if only else shared.written(docs, "clean")
     return docs

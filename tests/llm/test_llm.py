@@ -330,18 +330,61 @@ def test_decontamination_matches_brute_force(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     # Many blocks of few items give the same.
     parts = list(decontamination.blocks_of(bench, most_items=5))
-    assert len(parts) > 3 and sorted(i for p in parts for i, _ in p) == [i for i, t in items if t is not None]
+    assert len(parts) > 3 and sorted(i for p, only in parts for i, _ in p if not only) == [i for i, t in items if t is not None]
 
 
 def test_blocks_find_all_within_the_radius():
+    """And nothing else: the blocks' answer is that of all comparisons."""
     rng = np.random.default_rng(0)
-    index = decontamination.Index([(i, prose(random.Random(i), 40).encode()) for i in range(50)])
+    own = rng.integers(0, 1 << 64, 300, np.uint64)
+    items = decontamination._Class(list(range(300)), own.tolist())
     for i in range(50):
         for bits in (0, 5, 12, 19, 20):
             flip = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
-            found = index.within(np.array([int(index.prints[i]) ^ flip], np.uint64), set(range(50)))
-            want = [(0, j, int(x)) for j, x in enumerate(np.bitwise_count(index.prints ^ np.uint64(int(index.prints[i]) ^ flip))) if x <= 19]
-            assert sorted(found) == want
+            found = items.within(np.array([int(own[i]) ^ flip, int(own[i])], np.uint64))
+            want = [(w, j, int(x)) for w, f in enumerate((flip, 0)) for j, x in enumerate(np.bitwise_count(own ^ np.uint64(int(own[i]) ^ f))) if x <= 19]
+            assert found == want
+
+
+def test_candidates_are_those_of_the_blocks(monkeypatch):
+    """Without what the blocks find there is no result, though the shingles are all there."""
+    text = prose(random.Random(1), 40)
+    index = decontamination.Index([(7, text.encode())])
+    assert [x["item_id"] for x in index.search(text.encode())] == [7]
+    monkeypatch.setattr(decontamination._Class, "within", lambda self, prints: [])
+    assert index.search(text.encode()) == []
+
+
+def test_decontamination_recall_on_random_items(spark):
+    """Items of one to sixty shingles in documents with words changed at random, against all windows and items."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice(SYLLABLES["en"]) for _ in range(2)) for _ in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9) + 4 if i % 3 else rng.randint(20, 64)))) for i in range(90)]
+    docs = []
+    for k in range(180):
+        x = items[k % 90][1].split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            x[rng.randrange(len(x))] = rng.choice(vocabulary)
+        docs.append((k, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 40))] + x + [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))])))
+    want = leaks_brute(docs, items)
+    index = decontamination.Index([(i, t.encode()) for i, t in items])
+    got = {(d, x["item_id"]): x["similarity"] for d, t in docs for x in index.search(t.encode())}
+    assert got.keys() <= want.keys() and all(got[p] == pytest.approx(want[p]) for p in got)
+    print(f"recall {len(got)} of {len(want)}")
+    assert len(got) >= 0.99 * len(want) and len(want) > 60
+
+
+def test_many_items_are_read_block_by_block(spark):
+    """20,000 items: one block's index is held at a time; a long text is read whole."""
+    rng = random.Random(19)
+    items = [(i, " ".join(str(rng.randrange(10**6)) for _ in range(30))) for i in range(20_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    far = " ".join(str(rng.randrange(10**6)) for _ in range(200_000)) + " " + items[19_999][1]
+    docs = [(0, far), (1, "nothing " * 50)] + [(2 + k, "intro words " + items[k * 501][1] + " more") for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
+    assert got == {(0, 19_999)} | {(2 + k, k * 501) for k in range(30)}
+    assert [r["doc_id"] for r in decontamination.filter_documents(df, bench).collect()] == [1]
 
 
 # --- 5 token counts
