@@ -18,8 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages to target shares of the tokens at hand; low quality is aimed at so few that rates go to 0."""
     docs = shared.table(spark, sf_dir, "documents")
-    return source_mixing.rates(docs, source_mixing.labelled_table(docs, shared.table(spark, sf_dir, "labels")))
+    labelled = source_mixing.labelled_table(docs, shared.table(spark, sf_dir, "labels"), source_mixing.language_or_low())
+    return source_mixing.rates(docs, labelled, source_mixing.WEIGHTS)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "text string, domain string")
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (
-        quality_rules.judge(empty), quality_rules.filter_documents(empty), secret_scan.scan(empty), secret_scan.redact(empty), source_mixing.rates(empty, labels), source_mixing.mixed(empty, labels),
+        quality_rules.judge(empty), quality_rules.filter_documents(empty), secret_scan.scan(empty), secret_scan.redact(empty), source_mixing.rates(empty, labels, source_mixing.WEIGHTS), source_mixing.mixed(empty, labels, source_mixing.WEIGHTS),
         decontamination.leaks(empty, bench), decontamination.filter_documents(empty, bench), quality_classifier.classify(empty), license_scan.scan(empty), language_id.identify(empty),
         simhash_dedup.near_copies(empty), simhash_dedup.filter_documents(empty),
     ):
@@ -256,19 +256,22 @@ def test_mixing_meets_targets(spark, docs, rows):
     truth = {r[0]: r[2] for r in rows}
     known = [r for r in out if r["n_tokens"] >= 50]
     assert sum(truth.get(r["doc_id"]) == r["domain"] for r in known) >= 0.9 * len(known)
-    # The same fit in plain arrays.
+    # The same steps in plain arrays.
     p, t = np.array([[r["p"][d] for d in ("de", "en", "fr")] for r in out]), np.array([r["n_tokens"] for r in out], float)
-    target, have, rate = np.array([0.3, 0.5, 0.2]) * 60_000, t @ p, np.ones(len(out))
-    for _ in range(40):
-        now = (rate * t) @ p
-        if np.abs(now - target).max() <= 1e-4 * 60_000:
-            break
-        rate = np.maximum(0, rate - p @ ((now - target) / have))
+    target, have, pace = np.array([0.3, 0.5, 0.2]) * 60_000, t @ p, 1.0
+    rate, before = np.ones(len(out)), np.ones(len(out))
+    losses: list[float] = []
+    while np.abs((rate * t) @ p - target).max() > 1e-4 * 60_000:
+        losses.append(((((rate * t) @ p - target) ** 2) / have).sum())
+        pace = 1.0 if len(losses) > 1 and losses[-1] > losses[-2] else pace
+        faster = (1 + (1 + 4 * pace**2) ** 0.5) / 2
+        ahead = rate + (pace - 1) / faster * (rate - before)
+        before, pace, rate = rate, faster, np.maximum(0, ahead - p @ (((ahead * t) @ p - target) / have))
     assert np.allclose(rate, [r["rate"] for r in out], atol=1e-6)
 
 
 def test_mixing_without_labels_keeps_all(spark, docs, rows):
-    out = source_mixing.mixed(docs, spark.createDataFrame([], "text string, domain string"))
+    out = source_mixing.mixed(docs, spark.createDataFrame([], "text string, domain string"), source_mixing.WEIGHTS)
     assert out.count() == len(rows) and set(docs.columns) < set(out.columns)
     assert {round(r["rate"], 6) for r in out.select(F.col("rate_").alias("rate")).collect()} == {1.01}
 
