@@ -29,7 +29,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mixing.mixed(docs, source_mixing.labelled_table(docs, shared.table(spark, sf_dir, "labels")))
+    labelled = source_mixing.labelled_table(docs, shared.table(spark, sf_dir, "labels"), source_mixing.language_or_low())
+    return source_mixing.mixed(docs, labelled, source_mixing.WEIGHTS)
 
 
 STAGES = [
