@@ -42,6 +42,8 @@ ALLOW = (
     r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[-_/]?[0-9]{1,4}$",
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
 )
+#: Every candidate, and every long hexadecimal number, lies in such a run, so texts without one are not looked through for these.
+RUN = r"[A-Za-z0-9+/_-]{24}"
 #: What a part (a run of letters and digits) holds that is an example or the alphabet or digits in order.
 MARKS = r"(?i:abcdefghijkl|0123456789abcdef|1234567890123|example|sample|placeholder|dummy|xxxx)"
 MARKED = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*?{MARKS}[A-Za-z0-9]*+"
@@ -105,7 +107,7 @@ def _spans(text: Column, pattern: str, rank: int, may: Column, keep) -> Column:
 
         return F.filter(F.zip_with(pairs, before, span), lambda x: x.isNotNull())
 
-    return F.when(may & text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matched)).otherwise(_none())
+    return F.when(may, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, matched(m)).otherwise(_none()))).otherwise(_none())
 
 
 def _replaced(text: Column, spans: Column, mark) -> Column:
@@ -160,32 +162,35 @@ def best_entropy(s: Column, window: int) -> Column:
     return F.when(F.length(s) >= window, let(entering, lambda p: F.aggregate(F.zip_with(p, leaving(p), lambda new, old: F.struct(new.alias("new"), old.alias("old"))), state, step, bits))).otherwise(F.lit(0.0))
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, run: Column) -> Column:
+    """run: whether the text has a RUN."""
     low = F.lower(text)
     word = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
     assign = _spans(text, ASSIGN, 0, word, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
     access = _spans(text, ACCESS, 1, text.contains("AKIA"), lambda m: F.length(m) >= 20)
     # Runs of 24 or more are what is left of all runs once the shorter ones are dropped.
-    hexes = _spans(text, HEX_LONG, 2, F.lit(True), lambda m: F.lit(True))
+    hexes = _spans(text, HEX_LONG, 2, run, lambda m: F.lit(True))
     return F.concat(assign, access, hexes)
 
 
-def entropy_spans(text: Column, classes: dict, allow: tuple[str, ...]) -> Column:
+def entropy_spans(text: Column, run: Column, classes: dict, allow: tuple[str, ...]) -> Column:
     listed = "|".join(f"(?:{p})" for p in allow)
     return F.concat(*[
-        _spans(text, pattern, KINDS.index(kind), F.lit(True), lambda m, w=window, h=least: ~m.rlike(listed) & (best_entropy(m, w) >= h))
+        _spans(text, pattern, KINDS.index(kind), run, lambda m, w=window, h=least: ~m.rlike(listed) & (best_entropy(m, w) >= h))
         for kind, (pattern, window, least) in classes.items()
     ])
 
 
 def _found(docs: DataFrame, classes: dict, allow: tuple[str, ...]) -> tuple[DataFrame, str, str]:
     """docs with the base spans and all spans, in columns whose names docs lacks."""
-    base, every = shared.unused(docs, "__base"), shared.unused(docs, "__every")
+    base, every, run = shared.unused(docs, "__base"), shared.unused(docs, "__every"), shared.unused(docs, "__run")
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn(base, F.array_sort(base_spans(text)))
-    blanks = F.concat(base, _spans(text, MARKED, 0, F.lit(True), lambda m: F.lit(True)))
-    out = out.withColumn(every, _blanked(text, blanks))
-    return out.withColumn(every, F.array_sort(F.concat(base, entropy_spans(F.col(every), classes, allow)))), base, every
+    out = docs.withColumn(run, text.rlike(RUN))
+    out = out.withColumn(base, F.array_sort(base_spans(text, F.col(run))))
+    blanks = F.concat(base, _spans(text, MARKED, 0, F.col(run), lambda m: F.lit(True)))
+    out = out.withColumn(every, F.when(F.col(run), _blanked(text, blanks)))
+    new = F.when(F.col(run), entropy_spans(F.col(every), F.col(run), classes, allow)).otherwise(_none())
+    return out.withColumn(every, F.array_sort(F.concat(base, new))), base, every
 
 
 def _joined(spans: str) -> Column:
