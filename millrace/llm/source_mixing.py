@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from millrace.llm import shared
 
 DIMENSIONS, MOST_LABELLED = 2048, 2000
-#: Target shares of tokens by domain, as the queries use them; what is of low quality in any language is a domain of which one
-#: token in 200 is to be left: what soft membership gives all texts, so that rates of texts that are surely of it go to 0.
-WEIGHTS = {"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.115, "low": 0.005}
+#: Target shares of tokens by domain, as the queries use them. What is of low quality in any language is a domain to be CUT to one token in 200: about
+#: what soft membership gives all texts, so that rates of texts that are surely of it go to 0.
+WEIGHTS = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.125, "low": 0.005}
+CUT = ("low",)
 #: Steps that a round folds at most, and rounds within which a settled loss falls by less than SETTLED of what it was at first.
-STEPS, PATIENCE, SETTLED = 8, 10, 1e-6
+STEPS, PATIENCE, SETTLED = 8, 5, 1e-4
 
 
 def vector(text: bytes) -> np.ndarray:
@@ -103,9 +104,9 @@ def folded(p: Column, steps: list[list[float]]) -> Column:
     return moved(first_state(), p, steps)["rate"]
 
 
-def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, rounds: int = 1000, tolerance: float = 1e-4, unlisted: bool = False) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
+def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, rounds: int = 1000, tolerance: float = 1e-4, unlisted: bool = False, cut: tuple[str, ...] = CUT, settled: float = SETTLED) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
     """The steps, from (n_tokens, p), which fold to the rates; and of each domain what it gets and what it is to get. total: tokens aimed at; None: as
-    few as let no domain with weight be read less than once, and one in a hundred more, for the fit's tolerance. unlisted: domains that weights lacks
+    few as let no domain with weight that is not to be cut be read less than once, and one in a hundred more, for the fit's tolerance. unlisted: domains that weights lacks
     are aimed at their share of the tokens at hand, and the weights divide the rest."""
     sums = lambda r: [F.coalesce(F.sum(r * F.col("n_tokens") * F.element_at("p", d + 1)), F.lit(0.0)).alias(f"s{d}") for d in range(len(domains))]
     have = np.array(list(member.agg(*sums(F.lit(1.0))).first()), float)
@@ -115,15 +116,15 @@ def fit(member: DataFrame, domains: list[str], weights: dict[str, float], total:
     if rest.any() and have.sum() > 0:
         share = np.where(rest, have / have.sum(), share * (1 - have[rest].sum() / have.sum()) if not rest.all() else 0.0)
     if total is None:
-        total = 1.01 * float(max((n / s for n, s in zip(have, share, strict=True) if s > 0), default=0.0))
+        total = 1.01 * float(max((n / s for n, s, d in zip(have, share, domains, strict=True) if s > 0 and d not in cut), default=0.0))
     target, scale = share * total, np.where(have > 0, have, 1.0)
     now, before, losses, steps, done, pace = have, have, [], [], 0, 1.0
     held = member.select("n_tokens", "p", first_state().alias("state"))
     for _ in range(rounds):
         off = np.where(have > 0, now - target, 0.0)
         losses.append(float((off**2 / scale).sum()))
-        settled = len(losses) > PATIENCE and min(losses[:-PATIENCE]) - min(losses) <= SETTLED * losses[0]
-        if np.abs(off).max(initial=0) <= tolerance * max(total, 1e-12) or settled:
+        still = len(losses) > PATIENCE and min(losses[:-PATIENCE]) - min(losses) <= settled * losses[0]
+        if np.abs(off).max(initial=0) <= tolerance * max(total, 1e-12) or still:
             return steps, dict(zip(domains, zip(now.tolist(), target.tolist(), strict=True), strict=True))
         if len(steps) - done == STEPS:
             new = shared.written(held.withColumn("state", moved(F.col("state"), F.col("p"), steps[done:])), "rates")
@@ -173,7 +174,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total
     fitted = folded(p, steps)
     if total is None:
         # Posteriors are soft: a text of the scarcest domain that is partly another's has a rate under that domain's.
-        aimed = [d for d in domains if weights.get(d, 1.0 if unlisted else 0.0) > 0]
+        aimed = [d for d in domains if weights.get(d, 1.0 if unlisted else 0.0) > 0 and d not in CUT]
         least = held.select(n.alias("n"), best.alias("d"), fitted.alias("r")).where((F.col("n") > 0) & F.col("d").isin(aimed) & (F.col("r") > 0)).agg(F.min("r")).first()[0]
         if least is not None and least < 1:
             fitted = fitted * (1.000001 / least)

@@ -32,7 +32,7 @@ def test_mix_gives_unlisted_domains_their_share(spark):
     n = {d: sum(r["n_tokens"] for r in rows if r["domain"] == d) for d in ("it", "en", "fr", "de")}
     t = {d: sum(r["rate"] * r["n_tokens"] for r in rows if r["domain"] == d) for d in n}
     assert t["it"] / sum(t.values()) == pytest.approx(n["it"] / sum(n.values()), abs=0.03)
-    assert t["en"] / t["fr"] == pytest.approx(0.55 / 0.17, rel=0.15)
+    assert t["en"] / t["fr"] == pytest.approx(0.55 / 0.16, rel=0.15)
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def test_rates_where_the_projection_holds_match_nnls(spark, case):
     weights = {"an unwanted domain": {"a": 0.7, "b": 0.3, "c": 0.0}, "less than at hand": {"a": 0.9, "b": 0.1}, "targets that no rates meet": {"a": 0.05, "b": 0.6, "c": 0.35}}[case]
     total = 0.4 * t.sum() if case == "less than at hand" else None
     df = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p, strict=True)], "n_tokens long, p array<double>").repartition(3)
-    steps, got = source_mixing.fit(df, ["a", "b", "c"], weights, total)
+    steps, got = source_mixing.fit(df, ["a", "b", "c"], weights, total, settled=1e-6)
     rates = df.select("n_tokens", "p", source_mixing.folded(F.col("p"), steps).alias("r")).collect()
     have = t @ p
     target = np.array([got[k][1] for k in "abc"])
