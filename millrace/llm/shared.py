@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder (tests);
+    any other raises, as its executors would not find it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
