@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,13 +88,36 @@ def cluster(df: DataFrame, vector: str, k: int, method: str = "kmeans", seed: in
     return min(models, key=lambda m: m.summary.trainingCost).transform(fed).drop("__v")
 
 
+#: Bytes of centroids that go to every task.
+MOST_BYTES = 64 << 20
+
+
 def nearest(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
-    """df's rows with the id of the nearest centroid (the least id of equals). centroids: (cluster_id, centroid array), K rows, which are
-    gathered to one row and broadcast after their number is checked."""
-    k = centroids.count()
-    if k > 65_536:
-        raise ValueError("too many centroids to broadcast")
-    held = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("__c")).withColumn("__one", F.lit(1)))
-    distance = lambda c: F.aggregate(F.zip_with(vector, c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("__c", lambda c: F.struct(distance(c).alias("d"), c["cluster_id"].alias("id"))))
-    return df.withColumn("__one", F.lit(1)).join(held, "__one").withColumn("cluster_id", best["id"]).drop("__c", "__one")
+    """df's rows with the id of the nearest centroid (the least id of equals). centroids: (cluster_id, centroid array); their bytes are checked before they
+    are gathered, and each task multiplies batches of vectors with them. A null vector has a null id."""
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("d")).first()
+    if 8 * size["n"] * size["d"] > MOST_BYTES:
+        raise ValueError(f"{size['n']} centroids of {size['d']} numbers are too many for every task")
+    held = sorted((r["cluster_id"], r["centroid"]) for r in centroids.select("cluster_id", "centroid").collect())
+    ids, c = np.array([k for k, _ in held], np.int64), np.array([v for _, v in held], float).reshape(len(held), size["d"])
+    squares = (c * c).sum(axis=1)
+
+    @F.arrow_udf("bigint")
+    def of(vectors: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for at in range(0, len(vectors), 1024):
+            rows = vectors[at : at + 1024]
+            known = [x.as_py() for x in rows]
+            x = np.array([v for v in known if v is not None], float).reshape(-1, c.shape[1])
+            d = squares[None, :] - 2 * (x @ c.T)
+            # What rounding may have put in another order is compared again, difference by difference.
+            close = d <= d.min(axis=1, keepdims=True) + 1e-9 * (1 + (x * x).sum(axis=1, keepdims=True) + squares.max(initial=0))
+            best = d.argmin(axis=1)
+            for i in np.flatnonzero(close.sum(axis=1) > 1):
+                some = np.flatnonzero(close[i])
+                best[i] = some[((x[i] - c[some]) ** 2).sum(axis=1).argmin()]
+            found = iter(ids[best].tolist())
+            out += [None if v is None else next(found) for v in known]
+        return pa.array(out, pa.int64())
+
+    return df.withColumn("cluster_id", of(F.col(vector)) if len(ids) else F.lit(None).cast("bigint"))

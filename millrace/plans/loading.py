@@ -8,6 +8,7 @@ from millrace.functions import text as T
 from millrace.operators import sampling, weighting
 from millrace.plans.book import WORDS_SQL, Book, digest_sql, table
 from millrace.plans.clusters import BATCH, DRAW_SQL, DRAWS
+from millrace.sources import scratch
 from millrace.streaming import events, loaders, packer
 
 BOOK = Book()
@@ -17,13 +18,13 @@ W = WORDS_SQL
 
 @add("SELECT e AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY doc_id) - 1 AS place FROM documents, range(0, 3) r(e)")
 def text_epochs(spark, sf):
-    """The same order in each pass."""
+    """The same order in each pass."""
     return loaders.epochs(table(spark, sf, "documents").select("doc_id"), 3, "doc_id", False).select("epoch", "doc_id", "place")
 
 
 @add(f"WITH e AS (SELECT 0::BIGINT AS epoch, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents UNION ALL SELECT 1, doc_id, row_number() OVER (ORDER BY {digest_sql(43, 'doc_id')}, doc_id) - 1 FROM documents) SELECT * FROM e WHERE epoch > 0 OR place >= 70")
 def resumed_epochs(spark, sf):
-    """What is left of two passes after 70 rows of the first."""
+    """What is left of two passes after 70 rows of the first."""
     rows = loaders.epochs(table(spark, sf, "documents").select("doc_id"), 2, "doc_id", True)
     return loaders.remaining(rows, 0, 70).select("epoch", "doc_id", "place")
 
@@ -61,21 +62,28 @@ def checkpoint_steps(spark, sf):
     return loaders.saves(spark.range(1, 98).withColumnRenamed("id", "step"), "step", 20, 97, True)
 
 
-@add()
-def stream_packing(spark, sf):
-    """G1, T4, T6, T16 as a stream with carried state; tested against the batch packer and over a restart."""
-    import tempfile
-    import uuid
+STREAM_SQL = f"""
+WITH d AS (SELECT doc_id % 4 AS shard, doc_id, list_concat(list_concat(['<s>'], {W}), ['</s>']) AS t FROM documents),
+o AS (SELECT shard, t, coalesce(sum(len(t)) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM d),
+k AS (SELECT shard, (base + i - 1) // 257 AS window_id, (base + i - 1) % 257 AS slot, t[i] AS tok FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM o))
+SELECT shard, window_id, md5(string_agg(tok, ' ' ORDER BY slot)) AS tokens_md5 FROM k GROUP BY ALL HAVING count(*) = 257"""
+
 
-    name = f"packed_{uuid.uuid4().hex}"
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet*")
+@add(STREAM_SQL)
+def stream_packing(spark, sf):
+    """G1, T4 as a stream with carried state; tested against the batch packer and over a restart too."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/documents.parquet*")
     fed = docs.select((F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("order_key"), T.encode(F.col("text")).alias("tokens"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    out = f"{shared}/{name}"
-    q = packer.packed(fed, 256).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(packer.OUTPUT).parquet(f"{out}/rows").select("shard", "window_id", F.size("tokens").cast("bigint").alias("n"))
+    out, before = scratch.new_path(spark, "packed"), spark.conf.get(provider)
+    try:
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        q = packer.packed(fed, 256).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    rows = spark.read.schema(packer.OUTPUT).parquet(f"{out}/rows")
+    return rows.select("shard", "window_id", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 @add("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

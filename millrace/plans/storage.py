@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions import text as T
-from millrace.functions.tokenizer import dual
+from millrace.functions.hashing import uniform
+from millrace.functions.tokenizer import Described, dual
 from millrace.operators import filters, metrics
-from millrace.plans.book import WORDS_SQL, Book, table
+from millrace.plans.book import WORDS_SQL, Book, table, uniform_sql
 from millrace.sources import readers, scratch, sinks
 
 BOOK = Book()
@@ -37,14 +38,15 @@ def bucket_round_trip(spark, sf):
     return out.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), "line_no", "doc_id", F.md5("text").alias("text_md5"))
 
 
-@add("SELECT label::BIGINT AS cluster_id, count(*)::BIGINT * 64 AS n_tokens, count(*)::BIGINT * 256 AS n_bytes FROM embeddings GROUP BY 1")
+@add("""WITH e AS (SELECT label::BIGINT AS cluster_id, unnest(embedding) AS x, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 + unnest(range(0, 64)) AS i FROM embeddings)
+SELECT cluster_id, count(*)::BIGINT AS n_tokens, count(*)::BIGINT * 4 AS n_bytes, sum(trunc(x * 100::FLOAT)::BIGINT * (i % 1009 + 1))::BIGINT AS checksum FROM e GROUP BY 1""")
 def token_payloads(spark, sf):
-    """Token arrays as 32-bit payloads, whose size gives the count."""
+    """Each cluster's token stream as parts of 32-bit payloads, whose size gives the count; contents by a checksum over places."""
     path = scratch.new_path(spark, "tokens")
-    e = table(spark, sf, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.flatten(F.collect_list(F.transform("embedding", lambda x: (x * 100).cast("int")))).alias("tokens"))
-    sinks.write_token_files(e, path)
-    p = spark.read.parquet(path)
-    return p.select("cluster_id", "n_tokens", F.octet_length("payload").cast("bigint").alias("n_bytes")).where(F.floor(F.col("n_bytes") / 4) == F.col("n_tokens"))
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("cluster_id"), "vec_id", F.transform("embedding", lambda x: (x * 100).cast("int")).alias("tokens"))
+    sinks.write_token_parts(e, "vec_id", path)
+    p = readers.token_parts(spark, path)
+    return p.groupBy("cluster_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.octet_length("payload")).cast("bigint").alias("n_bytes"), F.sum(F.aggregate(F.zip_with("tokens", F.sequence(F.col("first"), F.col("first") + F.col("n_tokens") - 1), lambda t, i: t.cast("bigint") * (i % 1009 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("checksum"))
 
 
 @add("SELECT item_id % 4 AS shard, lpad(item_id::VARCHAR, 9, '0') AS key, text AS txt, '{\"n\":' || length(text) || '}' AS json FROM benchmark")
@@ -128,23 +130,23 @@ def multimodal_samples(spark, sf):
     return d.select("doc_id", "sample", F.size(pieces).cast("bigint").alias("n_tokens"), F.size(F.filter(masked, lambda x: x == "-100")).cast("bigint").alias("n_masked"))
 
 
-@add()
+U = uniform_sql
+
+
+@add(f"SELECT doc_id, round(sqrt(-2 * ln({U(7, 'doc_id')} + 1.0 / 9007199254740992)) * cos(2 * pi() * {U(8, 'doc_id')}), 9) AS noise, {U(9, 'doc_id')} AS t FROM documents")
 def gaussian_noise(spark, sf):
-    """Noise and a timestep per document; rows and moments only."""
-    return table(spark, sf, "documents").select("doc_id", F.randn(7).alias("noise"), F.rand(8).alias("t"))
+    """Noise and a timestep per document, from digests of its id, so that they are the same for any partitioning."""
+    k = F.col("doc_id")
+    noise = F.sqrt(-2 * F.ln(uniform(7, k) + 1.0 / 9007199254740992)) * F.cos(2 * F.pi() * uniform(8, k))
+    return table(spark, sf, "documents").select("doc_id", F.round(noise, 9).alias("noise"), uniform(9, k).alias("t"))
 
 
 @add()
 def library_tokens(spark, sf):
-    """Ids from a library tokenizer and back, where public tokenizer files are installed; else word-level counts."""
-    d = table(spark, sf, "documents")
-    try:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-    except ImportError:
-        return d.select("doc_id", T.token_count(F.col("text")).alias("n_tokens"), F.lit(True).alias("same"))
-    from millrace.functions.tokenizer import Described
+    """Ids from a library tokenizer and back; its file is that of public_tokenizers, and without it this raises."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     t = Described(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    ids = d.select("doc_id", "text", t.encode(F.col("text")).alias("ids"))
+    ids = table(spark, sf, "documents").select("doc_id", "text", t.encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), (t.decode(F.col("ids")) == F.col("text")).alias("same"))

@@ -192,6 +192,17 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(ids.alias("cluster_id"), "content").mapInArrow(parsed, "cluster_id bigint, n_tokens bigint, tokens array<int>")
 
 
+def token_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster_id, part, first, n_tokens, payload, tokens) of a table of parts of token streams."""
+
+    @F.arrow_udf("array<int>")
+    def tokens(payloads: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_py(), "<i4") for x in payloads], pa.list_(pa.int32()))
+
+    parts = spark.read.parquet(path)
+    return parts.select("cluster_id", "part", "first", F.floor(F.octet_length("payload") / 4).alias("n_tokens"), "payload", tokens("payload").alias("tokens"))
+
+
 def is_token_format(meta: dict | None) -> bool:
     """Do bucket metadata say that token files are there? No metadata: no."""
     return bool(meta) and meta.get("format") == "bin"

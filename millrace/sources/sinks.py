@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import digest
-from millrace.operators.ordering import shuffled_ordinal
+from millrace.operators.ordering import prefix_sum, shuffled_ordinal
 from millrace.operators.weighting import dense_counts
 
 
@@ -72,6 +72,28 @@ def write_token_files(df: DataFrame, path: str) -> dict:
     return meta
 
 
+#: Tokens in one part of a cluster's stream.
+PART = 1 << 20
+
+
+def write_token_parts(df: DataFrame, key: str, path: str, part: int = PART) -> None:
+    """(cluster_id, part, first, payload) as Parquet: each cluster's token stream, its rows (cluster_id, key, tokens) end to end in the order of key, in
+    parts of `part` tokens at most as little-endian 32-bit ids, so that no cluster is in one row or task. first: the place of a part's first token."""
+    laid = prefix_sum(df.select("cluster_id", key, F.col("tokens").cast("array<int>").alias("t")).where(F.size("tokens") > 0), key, F.size("t").cast("bigint"), "at", by=["cluster_id"])
+    n = F.size("t")
+    cut = laid.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / part), F.floor((F.col("at") + n - 1) / part))))
+    low, high = F.greatest(F.col("part") * part, F.col("at")), F.least((F.col("part") + 1) * part, F.col("at") + n)
+    pieces = cut.select("cluster_id", "part", low.alias("at"), F.slice("t", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("t"))
+    whole = pieces.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("p"))
+
+    @F.arrow_udf("binary")
+    def payload(tokens: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(x.values.to_numpy(zero_copy_only=False), "<i4").tobytes() for x in tokens], pa.binary())
+
+    flat = F.flatten(F.transform("p", lambda x: x["t"]))
+    whole.select("cluster_id", "part", F.col("p")[0]["at"].alias("first"), payload(flat).alias("payload")).write.mode("overwrite").parquet(path)
+
+
 def tar_rows(df: DataFrame, shard: str) -> DataFrame:
     """(shard, tar): members key.txt, key.jpg and key.json of each row, in one tar per shard. A shard's number is the caller's, so its size is too."""
     held = df.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("key", "txt", "jpg", "json"))).alias("m"))

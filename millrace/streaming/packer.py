@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +13,9 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 OUTPUT = StructType([StructField("shard", LongType()), StructField("window_id", LongType()), StructField("tokens", ArrayType(StringType())), StructField("positions", ArrayType(LongType()))])
 
+#: Windows in one batch that is given out.
+ROWS = 1024
+
 
 class _Packer(StatefulProcessor):
     """Windows of length + 1 from the tokens of a shard; what does not fill one stays as state, with its positions."""
@@ -24,29 +28,29 @@ class _Packer(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         number, tokens, positions = self.rest.get() if self.rest.exists() else (0, [], [])
-        tokens, positions = list(tokens), list(positions)
-        # Order within a batch is put back by the order key.
-        for _, row in pd.concat(list(rows)).sort_values("order_key").iterrows():
-            tokens += list(row["tokens"])
-            positions += range(len(row["tokens"]))
-        out = []
-        while len(tokens) >= self.size:
-            head, tokens = tokens[: self.size], tokens[self.size :]
-            at, positions = positions[: self.size], positions[self.size :]
-            out.append((key[0], number, head, _from_zero(at)))
-            number += 1
-        self.rest.update((number, tokens, positions))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUTPUT])
+        # Order within a trigger is put back by the order key; how much a trigger takes is the source's to bound.
+        parts = list(rows)
+        texts = [t for p in parts for t in p["tokens"]]
+        order = np.argsort(np.concatenate([p["order_key"].to_numpy() for p in parts]), kind="stable")
+        sizes = np.array([len(t) for t in texts], np.int64)[order]
+        stream = np.concatenate([np.array(list(tokens), object), *[np.asarray(texts[i], object) for i in order]])
+        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.concatenate([np.array(list(positions), np.int64), np.arange(sizes.sum()) - begins])
+        n = len(stream) // self.size
+        for low in range(0, n, ROWS):
+            ends = [(k * self.size, (k + 1) * self.size) for k in range(low, min(low + ROWS, n))]
+            yield pd.DataFrame({"shard": key[0], "window_id": range(number + low, number + low + len(ends)), "tokens": [stream[a:b].tolist() for a, b in ends], "positions": [_from_zero(at[a:b]) for a, b in ends]})
+        self.rest.update((number + n, stream[n * self.size :].tolist(), at[n * self.size :].tolist()))
 
     def close(self) -> None:
         pass
 
 
-def _from_zero(positions: list[int]) -> list[int]:
+def _from_zero(at: np.ndarray) -> list[int]:
     """Positions of a document that goes on from the window before start at 0; those of later documents stay."""
-    end = next((i for i, p in enumerate(positions) if p == 0), len(positions))
-    return [p - positions[0] for p in positions[:end]] + positions[end:]
+    fresh = np.flatnonzero(at == 0)
+    end = int(fresh[0]) if len(fresh) else len(at)
+    return np.concatenate([at[:end] - at[0], at[end:]]).tolist()
 
 
 def packed(stream: DataFrame, length: int) -> DataFrame:
