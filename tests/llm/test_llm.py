@@ -122,6 +122,24 @@ def test_em_recovers_accuracies():
     assert np.allclose(model.specificity, [b for _, b in right], atol=0.12)
 
 
+def test_token_counts_of_an_empty_table(spark, empty):
+    P = pytest.importorskip("public_tokenizers")
+    cache = shared.new_path(spark, "empty-cache")
+    assert token_counts.count_tokens(empty, P.path("word_bpe_49k.json"), cache).collect() == [] and spark.read.parquet(cache).count() == 0
+
+
+def test_shared_folder_must_be_named_off_local_masters(spark, monkeypatch):
+    class Elsewhere:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = spark.conf, Elsewhere()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared.shared_dir(Session())
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "text string, domain string")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -437,6 +455,98 @@ def test_quality_classifier_separates(spark):
     assert {i for i, _ in good} <= kept and not kept & {i for i, _ in bad}
 
 
+def em_brute(votes: list[tuple]) -> list[float]:
+    """Posterior of good of each row, by EM row by row: accuracies apart for good and bad rows, Beta priors of means 0.95 and 0.5."""
+    n, k = len(votes), len(votes[0])
+    weight = max(1.0, 0.003 * n)
+    s, b, prior, post = [0.95] * k, [0.5] * k, 0.9, None
+    for _ in range(300):
+        new = []
+        for v in votes:
+            z = math.log(prior / (1 - prior))
+            for j, x in enumerate(v):
+                z += 0 if x is None else math.log(s[j] / (1 - b[j])) if x else math.log((1 - s[j]) / b[j])
+            new.append(1 / (1 + math.exp(-z)))
+        if post is not None and max(abs(x - y) for x, y in zip(new, post, strict=True)) < 1e-7:
+            break
+        post = new
+        prior = min(max((sum(post) + weight / 2) / (n + weight), 1e-6), 1 - 1e-6)
+        for j in range(k):
+            cast = [(v[j], p) for v, p in zip(votes, post, strict=True) if v[j] is not None]
+            s[j] = min(max((sum(p for x, p in cast if x) + weight * 0.95) / (sum(p for _, p in cast) + weight), 0.5), 1 - 1e-6)
+            b[j] = max(min(max((sum(1 - p for x, p in cast if not x) + weight * 0.5) / (sum(1 - p for _, p in cast) + weight), 0.02), 1 - 1e-6), 1 - s[j])
+    out = []
+    for v in votes:
+        z = math.log(prior / (1 - prior)) + sum(0 if x is None else math.log(s[j] / (1 - b[j])) if x else math.log((1 - s[j]) / b[j]) for j, x in enumerate(v))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_quality_rules_posterior_and_kept_match_brute_force(docs):
+    out = [r.asDict() for r in quality_rules.judge(docs).collect()]
+    names = [c for c in out[0] if c.startswith("vote_")]
+    want = em_brute([tuple(r[c] for c in names) for r in out])
+    assert [r["posterior"] for r in out] == pytest.approx(want, abs=1e-4)
+    assert all(r["kept"] == (not r["base_failed"] and p >= 0.5) for r, p in zip(out, want, strict=True) if abs(p - 0.5) > 1e-3)
+
+
+def slots_brute(text: str | None) -> dict[int, float]:
+    b = re.sub(rb"[1-9]", b"0", (text or "").encode())
+    n = Counter((x * 40503 + y * 911 + z * 31) % 4096 for x, y, z in zip(b, b[1:], b[2:], strict=False))
+    size, scale = len(b).bit_length(), math.sqrt(sum(n.values())) or 1.0
+    out = Counter({k: math.sqrt(v) / scale for k, v in n.items()})
+    out[(size * 7919 + 13) % 4096] += 0.5
+    out[(16 * len(n) // max(len(b), 1) * 104729 + size * 7919 + 77) % 4096] += 1.0
+    return out
+
+
+def test_quality_classifier_matches_a_plain_fit(spark):
+    """EM row by row, soft labels of each distinct text, and logistic regression with momentum over hashed slots, with clashing column names."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(20, 90), ("en", "de", "fr")[i % 3])) for i in range(40)] + [(100 + i, prose(rng, 60).replace(" ", "### ")) for i in range(8)]
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (None, rows[41][1]), (203, "a b"), (204, "12 34 99")]
+    df = spark.createDataFrame([(*r, 1, "p", 0.5) for r in rows], "doc_id long, text string, f int, posterior string, score double").repartition(3)
+    out = [r.asDict() for r in quality_classifier.classify(df).collect()]
+    names = [c for c in out[0] if c.startswith("vote_")]
+    post = em_brute([tuple(r[c] for c in names) for r in out])
+    assert [r["posterior"] for r in out] == pytest.approx(post, abs=1e-4)
+    texts = {}
+    own = dict(zip([(r["doc_id"]) for r in out], [r["posterior"] for r in out], strict=True))
+    for i, t in rows:
+        texts[t or ""] = own[i]
+    x, y = [slots_brute(t) for t in texts], list(texts.values())
+    up, down = max(sum(y), 1e-9) ** 0.75, max(sum(1 - p for p in y), 1e-9) ** 0.75
+    share = [p / up + (1 - p) / down for p in y]
+    share = [q / sum(share) for q in share]
+    w, v, bias = Counter(), Counter(), 0.0
+    for _ in range(200):
+        g = [q * (1 / (1 + math.exp(-(sum(w[k] * z for k, z in f.items()) + bias))) - p) for q, f, p in zip(share, x, y, strict=True)]
+        slope = Counter()
+        for e, f in zip(g, x, strict=True):
+            for k, z in f.items():
+                slope[k] += e * z
+        for k in {*slope, *w, *v}:
+            v[k] = 0.9 * v[k] - 20.0 * (slope[k] + 1e-5 * w[k])
+            w[k] += v[k]
+        bias -= sum(g)
+    text_of = dict(rows)
+    for r in out:
+        want = 1 / (1 + math.exp(-(sum(w[k] * z for k, z in slots_brute(text_of[r["doc_id"]]).items()) + bias)))
+        assert r["score"] == pytest.approx(want, abs=0.02) and (r["kept"] == (want >= 0.5) or abs(want - 0.5) < 0.02)
+
+
+def test_operators_read_very_long_texts_whole(spark):
+    """What stands at the end of some megabytes counts."""
+    rng = random.Random(31)
+    long = prose(rng, 200_000)
+    item = " ".join(f"q{k}z" for k in range(40))
+    df = spark.createDataFrame([(1, long + " " + item), (2, "### " * 500_000), (3, "plain words here")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in decontamination.leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 200_000)]
+    scores = {r["doc_id"]: r for r in quality_classifier.classify(df).collect()}
+    assert len(scores) == 3 and scores[2]["vote_many_symbols"] == 0 and scores[1]["score"] > scores[2]["score"]
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(df).collect()} == {1: 200_040, 2: 500_000, 3: 3}
+
+
 # --- 7 URL filter
 
 
