@@ -33,8 +33,9 @@ BITS = 64
 #: MinHash: permutations, of which BANDS times ROWS make bands, and places (of one byte) in which the sketches of candidates agree at least. Of
 #: pairs at a similarity of 0.8, 99.8 in 100 share a band, and 99.8 in 100 agree in 90 places (102 on average, deviation 4.5).
 HASHES, BANDS, ROWS, PLACES = 128, 12, 4, 90
-#: Rows and bytes of texts that a task holds of one group, hubs of a group that has more, and rows of a group that are looked through one by one.
-MOST, MOST_BYTES, HUBS, DENSE = 8192, 64 << 20, 16, 48
+#: Rows that a task holds of one group; rows and bytes where it holds their texts; hubs of a group that has more; and rows of a group that are looked
+#: through one by one.
+MOST, MOST_TEXTS, MOST_BYTES, HUBS, DENSE = 8192, 1024, 64 << 20, 16, 48
 PERMUTATIONS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -420,7 +421,7 @@ def candidates(reps: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     return by_band.unionAll(same).unionAll(near).distinct()
 
 
-def alike(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+def alike(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8, most: int = MOST, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, text_id, component and component_id (the component's least doc_id) of every row: texts whose sets of shingles are so similar are linked."""
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     sign = shared.per_text(lambda t: signature(t, size), SIGNED_SQL, SIGNED)
@@ -436,7 +437,7 @@ def alike(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0
     rows = shared.written(met.select("group", F.col("text_id").alias("node"), "sketch", "text"), "texts")
     if not rows.groupBy("node").count().where("count > 1").isEmpty():
         rows = shared.written(rows.dropDuplicates(["node"]), "texts")
-    names = _names(reps.select("text_id", "least"), within_groups(rows, size, similarity, most, most_bytes), "text_id")
+    names = _names(reps.select("text_id", "least"), within_groups(rows, size, similarity, most_texts, most_bytes), "text_id")
     return shared.Dealt(signed.select("doc_id", "text_id"), ["text_id"]).join(names).select("doc_id", "text_id", "component", "component_id")
 
 

@@ -883,7 +883,7 @@ def test_similar_texts_match_all_pairs(alike_docs, most, most_bytes):
     2 of 1,000 cases at 0.8, so a component may differ for want of one."""
     rows = alike_rows()
     roots = parts_brute(rows, [(i, j) for i in range(len(rows)) for j in range(i)])
-    out = simhash_dedup.alike(alike_docs, most=most, most_bytes=most_bytes).collect()
+    out = simhash_dedup.alike(alike_docs, most=most, most_texts=most, most_bytes=most_bytes).collect()
     got = {r["doc_id"]: r["component_id"] for r in out}
     assert len(out) == len(rows) and sum(got[i] != roots[i] for i in got) <= 1
     assert len(set(roots)) < len(rows) - 100
