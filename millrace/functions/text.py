@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,3 +166,31 @@ def restored(pattern: Column, numbers: Column) -> Column:
     """Puts the numbers back for each {}."""
     pieces = F.split(pattern, r"\{\}")
     return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(pieces) - 1, F.coalesce(F.try_element_at(numbers, i + 1), F.lit(""))).otherwise(F.lit("")))), "")
+
+
+#: Directives of strftime and their patterns. Fixed values.
+DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%y": "yy", "%I": "hh", "%p": "a", "%j": "DDD"}
+
+
+def strftime(ts: Column | None, form: str) -> Column:
+    """A time (now, in the session's zone, without one) in a strftime format; a directive that is not known raises."""
+    ts = F.current_timestamp() if ts is None else ts
+    parts = []
+    for piece in re.findall(r"%.|[^%]+", form):
+        if piece == "%%" or not piece.startswith("%"):
+            parts.append(F.lit(piece.replace("%%", "%")))
+        elif piece in DIRECTIVES:
+            parts.append(F.date_format(ts, DIRECTIVES[piece]))
+        else:
+            raise ValueError(f"no such directive: {piece}")
+    return F.concat(*parts) if parts else F.lit("")
+
+
+#: Keys under which a configuration names special tokens. Fixed values.
+SPECIAL_KEYS = ("bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token")
+
+
+def special_tokens(config: Column) -> Column:
+    """map of SPECIAL_KEYS to tokens from a configuration's JSON, where a token is a string or an object with its content; absent ones are left out."""
+    at = lambda k: F.coalesce(F.get_json_object(config, f"$.{k}.content"), F.get_json_object(config, f"$.{k}"))
+    return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), at(k).alias("value")) for k in SPECIAL_KEYS]), lambda e: e["value"].isNotNull()))

@@ -150,3 +150,39 @@ def library_tokens(spark, sf):
     t = Described(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
     ids = table(spark, sf, "documents").select("doc_id", "text", t.encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), (t.decode(F.col("ids")) == F.col("text")).alias("same"))
+
+
+CONFIG_SQL = """'{"bos_token": "<' || lang || '>", "eos_token": {"content": "</' || lang || '>", "lstrip": false}' || CASE WHEN doc_id % 2 = 0 THEN ', "pad_token": "<pad' || (doc_id % 5) || '>"' ELSE '' END || ', "model_max_length": 4096}'"""
+
+
+@add("SELECT doc_id, '<' || lang || '>' AS bos, '</' || lang || '>' AS eos, CASE WHEN doc_id % 2 = 0 THEN '<pad' || (doc_id % 5) || '>' END AS pad, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS n FROM documents")
+def special_token_map(spark, sf):
+    """special tokens of configurations, as strings or objects."""
+    m = T.special_tokens(F.expr(CONFIG_SQL))
+    d = table(spark, sf, "documents").select("doc_id", m.alias("m"))
+    return d.select("doc_id", F.col("m")["bos_token"].alias("bos"), F.col("m")["eos_token"].alias("eos"), F.col("m")["pad_token"].alias("pad"), F.size("m").cast("bigint").alias("n"))
+
+
+@add("SELECT event_id, strftime(ts, '%d %b %Y, %H:%M:%S') AS said FROM events")
+def formatted_times(spark, sf):
+    """F23."""
+    return table(spark, sf, "events").select("event_id", T.strftime(F.col("ts"), "%d %b %Y, %H:%M:%S").alias("said"))
+
+
+@add("SELECT substr(source, 4)::BIGINT AS cluster_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line_no, md5(text) AS text_md5 FROM documents")
+def bucket_file_lines(spark, sf):
+    """Lines of bucket files, numbered over blocks that many tasks read."""
+    path = scratch.new_path(spark, "lines")
+    d = table(spark, sf, "documents").select(F.substring("source", 4, 9).cast("bigint").alias("cluster_id"), "doc_id", "text")
+    # One file per cluster, as files are named by cluster; its lines are in order of doc_id.
+    sinks.write_bucket_files(d, "doc_id", path)
+    return readers.bucket_lines(spark, path).select("cluster_id", "line_no", F.md5("text").alias("text_md5"))
+
+
+@add("SELECT min(doc_id)::BIGINT AS least, max(doc_id)::BIGINT AS most, count(DISTINCT source)::BIGINT AS sources FROM documents")
+def settings_round_trip(spark, sf):
+    """Resolved settings as one JSON file, and back."""
+    d = table(spark, sf, "documents").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.countDistinct("source").alias("sources")).first()
+    path = scratch.new_path(spark, "settings")
+    sinks.write_settings(spark, {"data": {"ids": [d["least"], d["most"]]}, "sources": d["sources"]}, path)
+    return spark.read.schema("data struct<ids:array<bigint>>, sources bigint").json(path, multiLine=True).select(F.col("data.ids")[0].alias("least"), F.col("data.ids")[1].alias("most"), "sources")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
@@ -172,10 +172,31 @@ def buckets(spark: SparkSession, folder: str, expected: int | None = None) -> Da
 
 
 def bucket_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(cluster_id, line_no, text) of bucket_NNNN.jsonl files: lines are numbered without blank ones; a line that is no object with a text is null."""
-    raw = spark.read.options(pathGlobFilter="bucket_*.jsonl").text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"bucket_(\d+)", 1).cast("bigint").alias("cluster_id"), "value")
-    lines = raw.select("cluster_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line_no", "line"))
-    return lines.select("cluster_id", F.col("line_no").cast("bigint").alias("line_no"), F.get_json_object("line", "$.text").alias("text"))
+    """(cluster_id, line_no, text) of bucket_NNNN.jsonl files: lines are numbered without blank ones; a line that is no object with a text is null. A file is
+    read in blocks by many tasks: lines are counted by block first, and numbered within their block."""
+    raw = spark.read.options(pathGlobFilter="bucket_*.jsonl").text(folder)
+    cluster = F.regexp_extract("_metadata.file_name", r"bucket_(\d+)", 1).cast("bigint")
+    lines = raw.select(cluster.alias("cluster_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).where(F.trim("line") != "")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Rows of one block are in one task, in their order.
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    out = lines.withColumn("number", number).join(blocks, ["file", "block"])
+    return out.select("cluster_id", (F.col("before") + F.col("number")).cast("bigint").alias("line_no"), F.get_json_object("line", "$.text").alias("text"))
+
+
+def line_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """wanted (cluster_id, line_no, ...) with the text of that line, null where there is none."""
+    return wanted.join(bucket_lines(spark, folder), ["cluster_id", "line_no"], "left")
+
+
+def union(*registries: dict[str, Dataset]) -> dict[str, Dataset]:
+    """All names of several registries; a name that two of them have raises."""
+    names = [k for r in registries for k in r]
+    twice = sorted({k for k in names if names.count(k) > 1})
+    if twice:
+        raise ValueError(f"names in two registries: {twice}")
+    return {k: d for r in registries for k, d in r.items()}
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,6 +72,25 @@ def write_token_files(df: DataFrame, path: str) -> dict:
     return meta
 
 
+def write_bucket_files(df: DataFrame, key: str, path: str) -> None:
+    """bucket_NNNN.jsonl files of rows (cluster_id, key, text), a line each, in order of key. A file is one task's, as its lines are in one order: clusters
+    beyond a task are for write_buckets(), whose table is dealt."""
+    lines = df.select("cluster_id", key, F.to_json(F.struct("text")).alias("value"))
+    sorted_ = lines.repartition("cluster_id").sortWithinPartitions("cluster_id", key)
+    sorted_.select(F.format_string("bucket_%04d", F.col("cluster_id").cast("int")).alias("bucket"), "value").write.partitionBy("bucket").mode("overwrite").text(f"{path}/parts")
+    context = df.sparkSession.sparkContext
+    jvm = context._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("bucket="):
+            for file in fs.listStatus(status.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{name.partition('=')[2]}.jsonl"))
+    fs.delete(folder, True)
+
+
 #: Tokens in one part of a cluster's stream.
 PART = 1 << 20
 
@@ -144,3 +163,8 @@ def generation_report(df: DataFrame, batch: int, tokens: int, seconds: float) ->
 
 def checkpoint_path(folder: str, step: int) -> str:
     return f"{folder}/global_step{step}"
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """A tree of settings as resolved, as one JSON file."""
+    put_text(spark, path, json.dumps(settings, indent=2, sort_keys=True, default=str))

@@ -163,3 +163,35 @@ def test_stream_packer_goes_on_after_a_stop(spark, tmp_path):
     for shard in (0, 1):
         want = packing.concat_and_chunk(df.where(F.col("shard") == shard), "tokens", "order_key", 9).collect()
         assert {r["window_id"]: (r["tokens"], list(r["positions"])) for r in want} == {w: x for (s, w), x in got.items() if s == shard}
+
+
+def test_lines_of_one_file_over_many_tasks(spark, tmp_path):
+    """Blocks of 200 bytes give the same lines and numbers as one read; any line is found by its number."""
+    lines = [json.dumps({"text": f"é{i} " + "w" * (i % 40)}) for i in range(300)]
+    lines[7], lines[120] = "  ", "not json"
+    (tmp_path / "bucket_0003.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    want = [(3, n, json.loads(x)["text"] if x.startswith("{") else None) for n, x in enumerate(x for x in lines if x.strip())]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+        df = readers.bucket_lines(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in df.select("cluster_id", "line_no", "text").collect()) == want
+        asked = spark.createDataFrame([(3, 250, "x"), (3, 0, "y"), (3, 999, "z"), (4, 0, "z")], "cluster_id long, line_no long, tag string")
+        got = {(r["cluster_id"], r["line_no"]): r["text"] for r in readers.line_at(spark, str(tmp_path), asked).collect()}
+        assert got == {(3, 250): want[250][2], (3, 0): want[0][2], (3, 999): None, (4, 0): None}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_registries_are_joined():
+    d = readers.Dataset("p", lambda spark, path: None, lambda df: None)
+    assert set(readers.union({"a": d}, {"b": d})) == {"a", "b"}
+    with pytest.raises(ValueError, match="two registries: .'a'"):
+        readers.union({"a": d}, {"a": d})
+
+
+def test_times_are_formatted(spark):
+    got = spark.sql("SELECT TIMESTAMP '2024-03-05 16:07:09' AS t").select(T.strftime(F.col("t"), "100%% on %A %d %B %Y at %I:%M %p, day %j"), T.strftime(None, "%Y")).first()
+    assert got[0] == "100% on Tuesday 05 March 2024 at 04:07 PM, day 065" and int(got[1]) >= 2024
+    with pytest.raises(ValueError, match="%Q"):
+        T.strftime(None, "%Q")
