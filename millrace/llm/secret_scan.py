@@ -7,8 +7,9 @@ window's entropy is log2(w) - sum / w. A candidate whose best window reaches the
 shuffle, no join, no Python.
 
 What a known format has found, and parts that say that they are an example (MARKS), are blanked before candidates are cut, so they suppress
-themselves and not the run around them. Of what is left, candidates of the forms in ALLOW are no secrets. One random base64 key of 24 characters in
-25 is missed, having less entropy than the threshold or no digit; of longer ones, of which some window will do, fewer than one in 200.
+themselves and not the run around them. Of what is left, candidates of the forms in ALLOW are no secrets. Of random base64 keys (20,000 drawn of
+each length) 6.1 % of those of 24 characters are missed, having less entropy than the threshold or no digit; 2.4 % at 28, 1.0 % at 32 and 0.2 %
+at 40, where some window will do.
 
 Cases: a null text counts as empty (no spans). Rows are judged one by one, so repeated rows each get their result and a null doc_id is returned
 as null. An empty table gives an empty result. Extra columns are ignored by scan() and kept by redact(). Positions are code points from 0, ends

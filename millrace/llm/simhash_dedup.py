@@ -31,7 +31,7 @@ from millrace.llm import shared
 SEED = 42
 BITS = 64
 #: MinHash: permutations, of which BANDS times ROWS make bands, and places (of one byte) in which the sketches of candidates agree at least. Of
-#: pairs at a similarity of 0.8, 99.8 in 100 share a band, and 99.8 in 100 agree in 90 places (102 on average, deviation 4.5).
+#: pairs at a similarity of 0.8, 99.8 in 100 share a band, and 99.7 in 100 agree in 90 places (102 on average, deviation 4.5).
 HASHES, BANDS, ROWS, PLACES = 128, 12, 4, 90
 #: Rows that a task holds of one group; rows and bytes where it holds their texts; hubs of a group that has more; and rows of a group that are looked
 #: through one by one.
