@@ -7,7 +7,7 @@ at rate 1. Each step is a gradient step of size 1 (in these units the curvature
 sums come to the driver. Steps are taken from rates moved on by momentum, whose sums follow from those of the rates, so a round is one
 aggregate. It folds the steps since rates were last written, STEPS at most; then rates are written anew, so that a round's work does not
 grow with the rounds before it. Rounds end when all targets are met, or when the loss has settled (targets that no rates meet: then the residual is
-the least there is); a fit that does neither within `rounds` raises.
+close to the least there is); a fit that does neither within `rounds` raises.
 
 Domains and their target weights are given by the caller. A domain of weight 0 is aimed at 0, where the projection holds its documents' rates.
 
