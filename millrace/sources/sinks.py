@@ -75,19 +75,22 @@ def write_token_files(df: DataFrame, path: str) -> dict:
 def write_bucket_files(df: DataFrame, key: str, path: str) -> None:
     """bucket_NNNN.jsonl files of rows (cluster_id, key, text), a line each, in order of key. A file is one task's, as its lines are in one order: clusters
     beyond a task are for write_buckets(), whose table is dealt."""
-    lines = df.select("cluster_id", key, F.to_json(F.struct("text")).alias("value"))
+    lines = df.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), key, F.to_json(F.struct("text")).alias("value"))
+    # Sorted first by the very column that parts the files: the writer sorts anew by any other, and that sort replaces this one.
     sorted_ = lines.repartition("cluster_id").sortWithinPartitions("cluster_id", key)
-    sorted_.select(F.format_string("bucket_%04d", F.col("cluster_id").cast("int")).alias("bucket"), "value").write.partitionBy("bucket").mode("overwrite").text(f"{path}/parts")
+    sorted_.select("cluster_id", "value").write.partitionBy("cluster_id").mode("overwrite").text(f"{path}/parts")
     context = df.sparkSession.sparkContext
     jvm = context._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
     fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
-        if name.startswith("bucket="):
+        if name.startswith("cluster_id="):
+            number = name.partition("=")[2]
+            bucket = f"bucket_{int(number):04d}" if number.lstrip("-").isdigit() else "bucket_null"
             for file in fs.listStatus(status.getPath()):
                 if file.getPath().getName().startswith("part-"):
-                    fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{name.partition('=')[2]}.jsonl"))
+                    fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{bucket}.jsonl"))
     fs.delete(folder, True)
 
 
