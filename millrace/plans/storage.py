@@ -43,7 +43,7 @@ SELECT cluster_id, count(*)::BIGINT AS n_tokens, count(*)::BIGINT * 4 AS n_bytes
 def token_payloads(spark, sf):
     """Each cluster's token stream as parts of 32-bit payloads, whose size gives the count; contents by a checksum over places."""
     path = scratch.new_path(spark, "tokens")
-    e = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("cluster_id"), "vec_id", F.transform("embedding", lambda x: (x * 100).cast("int")).alias("tokens"))
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("cluster_id"), "vec_id", F.transform("embedding", lambda x: (x * F.lit(100.0).cast("float")).cast("int")).alias("tokens"))
     sinks.write_token_parts(e, "vec_id", path)
     p = readers.token_parts(spark, path)
     return p.groupBy("cluster_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.octet_length("payload")).cast("bigint").alias("n_bytes"), F.sum(F.aggregate(F.zip_with("tokens", F.sequence(F.col("first"), F.col("first") + F.col("n_tokens") - 1), lambda t, i: t.cast("bigint") * (i % 1009 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("checksum"))
