@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +54,24 @@ def special_tokens(config: dict) -> dict[str, str]:
     return named | {str(i): content(t) for i, t in (config.get("added_tokens_decoder") or {}).items() if content(t)}
 
 
+#: Characters of texts, or ids, that go to the library at once: it holds some hundred bytes for each token, and for all texts of a call.
+CALL = 1 << 16
+
+
+def _calls(values: pa.Array, empty: str | list[int]) -> Iterator[list]:
+    """A batch's values in runs of CALL elements at most; a longer one is a run of its own. Nulls are empty."""
+    run, held = [], 0
+    for value in values:
+        x = value.as_py() or empty
+        if run and held + len(x) > CALL:
+            yield run
+            run, held = [], 0
+        run.append(x)
+        held += len(x)
+    if run:
+        yield run
+
+
 @dataclass
 class Described:
     """A tokenizer with its marks: which it adds by itself (seen on the empty text), and which are added by default (as configured)."""
@@ -84,10 +104,14 @@ class Described:
 
             if not loaded:
                 loaded.append(Tokenizer.from_str(spec))
-            ids = [before + e.ids + after for e in loaded[0].encode_batch([x.as_py() or "" for x in values])]
-            if length is not None:
-                ids = [(x + [pad] * (length - len(x)))[:length] for x in ids]
-            return pa.array(ids, pa.list_(pa.int32()))
+            sizes, parts = [0], [np.zeros(0, np.int32)]
+            for run in _calls(values, ""):
+                ids = [before + e.ids + after for e in loaded[0].encode_batch_fast(run)]
+                if length is not None:
+                    ids = [(x + [pad] * (length - len(x)))[:length] for x in ids]
+                sizes += [len(x) for x in ids]
+                parts += [np.array(x, np.int32) for x in ids]
+            return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
 
         return run(text)
 
@@ -100,7 +124,9 @@ class Described:
 
             if not loaded:
                 loaded.append(Tokenizer.from_str(spec))
-            return pa.array([loaded[0].decode(x.as_py() or [], skip_special_tokens=skip_special) for x in values], pa.string())
+            # A run's strings go to Arrow before the next run is decoded.
+            parts = [pa.array(loaded[0].decode_batch(run, skip_special_tokens=skip_special), pa.string()) for run in _calls(values, [])]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
         return run(ids)
 
