@@ -29,6 +29,18 @@ def prefix_sum(df: DataFrame, key: str, value: Column, out: str, span: int = SPA
     return _same(rows, bases, [*by, bucket]).withColumn(out, F.col(base) + F.coalesce(F.sum(val).over(inner), F.lit(0))).drop(bucket, base, val)
 
 
+def prefix_sum_wide(df: DataFrame, key: str, value: Column, out: str, n: str) -> DataFrame:
+    """df with `value` as the column n, and as `out` what prefix_sum() gives, for wide rows: only keys and values go through the sums and their
+    buckets, and a row is sent once, to its key's sum. Rows of one key follow each other in the order of value."""
+    id_ = f"__{out}_key"
+    keys = df.select(key, value.alias(n)).groupBy(key).agg(F.sum(n).alias(n))
+    # As a struct, null keys are equal too.
+    sums = prefix_sum(keys, key, F.col(n), out).select(F.struct(key).alias(id_), out)
+    rows = df.withColumn(n, value).withColumn(id_, F.struct(key)).join(sums.hint("shuffle_hash"), id_)
+    inner = Window.partitionBy(id_).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.col(out) + F.coalesce(F.sum(n).over(inner), F.lit(0))).drop(id_)
+
+
 def _running(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """df with the sum of `value` before each row."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,23 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
-from millrace.operators.ordering import prefix_sum
-
-
-def concat_and_chunk(docs: DataFrame, tokens: str, key: str, length: int) -> DataFrame:
-    """(window_id, tokens, positions) of the full windows of length + 1 in the token stream of all documents in the order of key. Documents
-    are cut to the slices that windows take; slices, not tokens, are shuffled. A document that goes on from the window before has its
-    positions start at 0 again."""
-    size = length + 1
-    laid = prefix_sum(docs.select(key, F.col(tokens).alias("t")), key, F.size("t").cast("bigint"), "at")
-    n = F.size("t")
-    cut = laid.where(n > 0).withColumn("window_id", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + n - 1) / size))))
-    start = F.greatest(F.col("window_id") * size - F.col("at"), F.lit(0)).cast("int")
-    end = F.least((F.col("window_id") + 1) * size - F.col("at"), n.cast("bigint")).cast("int")
-    piece = cut.select("window_id", F.col("at"), F.slice("t", start + 1, end - start).alias("t"))
-    whole = piece.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("parts"))
-    out = whole.select("window_id", F.flatten(F.transform("parts", lambda p: p["t"])).alias("tokens"), F.flatten(F.transform("parts", lambda p: A.upto(F.size(p["t"])))).alias("positions"), F.size("parts").alias("n_docs"))
-    return out.where(F.size("tokens") == size)
+from millrace.operators.ordering import prefix_sum, prefix_sum_wide
+
+
+def concat_and_chunk(docs: DataFrame, tokens: str | Column, key: str, length: int) -> DataFrame:
+    """(window_id, tokens, positions, n_docs) of the full windows of length + 1 in the token stream of all documents in the order of key. Documents
+    are sent once, as they are, to meet their place in the stream (so `tokens` may be a column of what they are made from). A window within
+    one document is cut from it there; of the rest, slices are shuffled, two a document at most. A document that goes on from the window before has
+    its positions start at 0 again."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    laid = prefix_sum_wide(docs, key, F.size(t).cast("bigint"), "__at", "__n").select(F.col("__at").alias("at"), F.col("__n").alias("n"), t.alias("t"))
+    return _chunked(laid, length + 1, True)
+
+
+def chunk_positions(docs: DataFrame, n: Column, key: str, length: int) -> DataFrame:
+    """(window_id, positions, n_docs) of the same windows, from the documents' numbers of tokens alone."""
+    laid = prefix_sum(docs.select(key, n.cast("bigint").alias("n")), key, F.col("n"), "at").select("at", "n")
+    return _chunked(laid, length + 1, False)
+
+
+def _chunked(laid: DataFrame, size: int, tokens: bool) -> DataFrame:
+    """Windows of rows (at, n, and t with tokens) that lie end to end."""
+    end = F.col("at") + F.col("n")
+    rows = laid.where("n > 0")
+    # Windows first .. last - 1 lie within the row.
+    first, last = F.floor((F.col("at") + size - 1) / size), F.floor(end / size)
+    start = (F.col("window_id") * size - F.col("at") + 1).cast("int")
+    inner = rows.where(last > first).withColumn("window_id", F.explode(F.sequence(first, last - 1)))
+    inner = inner.select("window_id", *[F.slice("t", start, F.lit(size)).alias("tokens")] * tokens, A.upto(F.lit(size)).alias("positions"), F.lit(1).alias("n_docs"))
+    ends = F.filter(F.array_distinct(F.array(F.floor(F.col("at") / size), F.floor((end - 1) / size))), lambda w: (w < first) | (w >= last))
+    cut = rows.withColumn("window_id", F.explode(ends))
+    low, high = F.greatest(F.col("window_id") * size, F.col("at")), F.least((F.col("window_id") + 1) * size, end)
+    pieces = cut.select("window_id", F.col("at"), (high - low).cast("int").alias("n"), *[F.slice("t", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("t")] * tokens)
+    whole = pieces.groupBy("window_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", *["t"] * tokens, "n"))).alias("parts")).where(F.col("n") == size)
+    joined = [F.flatten(F.transform("parts", lambda p: p["t"])).alias("tokens")] * tokens
+    return inner.unionByName(whole.select("window_id", *joined, F.flatten(F.transform("parts", lambda p: A.upto(p["n"]))).alias("positions"), F.size("parts").alias("n_docs")))
 
 
 def batched(windows: DataFrame, key: str, size: int) -> DataFrame:
