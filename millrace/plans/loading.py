@@ -73,15 +73,21 @@ SELECT shard, window_id, md5(string_agg(tok, ' ' ORDER BY slot)) AS tokens_md5 F
 def stream_packing(spark, sf):
     """G1, T4 as a stream with carried state; tested against the batch packer and over a restart too."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/documents.parquet*")
-    fed = docs.select((F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("order_key"), T.encode(F.col("text")).alias("tokens"))
-    out, before = scratch.new_path(spark, "packed"), spark.conf.get(provider)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    feed = scratch.new_path(spark, "feed")
+    packer.feed(docs, "doc_id", "text", feed)
+    fed = packer.fed(spark, feed, docs.schema).select((F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("order_key"), T.encode(F.col("text")).alias("tokens"))
+    out, partitions = scratch.new_path(spark, "packed"), "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (provider, partitions)}
     try:
         spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        # Each trigger opens a state store per partition, and there are four shards.
+        spark.conf.set(partitions, "8")
         q = packer.packed(fed, 256).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     rows = spark.read.schema(packer.OUTPUT).parquet(f"{out}/rows")
     return rows.select("shard", "window_id", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 

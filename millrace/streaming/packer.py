@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from millrace.operators.ordering import prefix_sum_wide
+
 OUTPUT = StructType([StructField("shard", LongType()), StructField("window_id", LongType()), StructField("tokens", ArrayType(StringType())), StructField("positions", ArrayType(LongType()))])
 
 #: Windows in one batch that is given out.
 ROWS = 1024
+#: Bytes of text in one file of a feed, and files that one trigger takes: a trigger's texts are what the packer's Python holds.
+FILE_BYTES, FILES = 16 << 20, 8
+
+
+def feed(docs: DataFrame, key: str, text: str, path: str, size: int = FILE_BYTES) -> None:
+    """docs as Parquet files for a stream: each holds a range of keys and about `size` bytes of text (one row at least), and times of change are in order of
+    keys, which is the order in which a stream takes files."""
+    spark = docs.sparkSession
+    laid = prefix_sum_wide(docs, key, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), "__at", "__n")
+    dealt = laid.withColumn("file", F.floor(F.col("__at") / size)).drop("__at", "__n").repartition("file").sortWithinPartitions("file")
+    dealt.write.partitionBy("file").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [(int(f.getPath().getName().partition("=")[2]), x.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("file=") for x in fs.listStatus(f.getPath()) if x.getPath().getName().startswith("part-")]
+    begin = int(time.time()) - len(parts)
+    for i, (_, part) in enumerate(sorted(parts, key=lambda p: p[0])):
+        fs.setTimes(part, (begin + i) * 1000, -1)
+
+
+def fed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The stream of a feed, FILES files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 class _Packer(StatefulProcessor):
@@ -25,13 +52,19 @@ class _Packer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", StructType([StructField("window_id", LongType()), StructField("tokens", ArrayType(StringType())), StructField("positions", ArrayType(LongType()))]))
+        self.last = handle.getValueState("last", StructType([StructField("order_key", LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         number, tokens, positions = self.rest.get() if self.rest.exists() else (0, [], [])
         # Order within a trigger is put back by the order key; how much a trigger takes is the source's to bound.
         parts = list(rows)
         texts = [t for p in parts for t in p["tokens"]]
-        order = np.argsort(np.concatenate([p["order_key"].to_numpy() for p in parts]), kind="stable")
+        keys = np.concatenate([p["order_key"].to_numpy() for p in parts])
+        if len(known := keys[~pd.isna(keys)]):
+            if self.last.exists() and known.min() < self.last.get()[0]:
+                raise ValueError(f"key {known.min()} of shard {key[0]} comes after {self.last.get()[0]}, in a later trigger")
+            self.last.update((int(known.max()),))
+        order = np.argsort(keys, kind="stable")
         sizes = np.array([len(t) for t in texts], np.int64)[order]
         stream = np.concatenate([np.array(list(tokens), object), *[np.asarray(texts[i], object) for i in order]])
         begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
